@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from ..plans.registry import Registry, Tables
 from .bpe import encode_corpus
+from .neighbours import near_pairs
 from .packing import pack
 from .pieces import split_oversized
 from .sentences import split_sentences
@@ -40,6 +41,22 @@ def p4_found(t: Tables) -> DataFrame:
     return split_sentences(t.tmp_chunks, ["post_id", "chunk_number"], "chunk_text")
 
 
+P5 = """
+with m as (select post_id, max(sync_seq) sync_seq from posts_vectors group by 1),
+v as (select distinct post_id p, chunk_number c, embedding::double[] e from posts_vectors join m using (post_id, sync_seq)
+  where len(embedding) = 64 and list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
+s as (select a.p ap, a.c ac, b.p bp, b.c bc, round(list_cosine_similarity(a.e, b.e), 6) s from v a, v b where (a.p, a.c) <> (b.p, b.c)),
+r as (select ap, ac, bp, bc, row_number() over (partition by ap, ac order by s desc, bp, bc) n from s where s >= 0.9)
+select distinct least((ap, ac), (bp, bc))[1] as post_a, least((ap, ac), (bp, bc))[2] as chunk_a, greatest((ap, ac), (bp, bc))[1] as post_b, greatest((ap, ac), (bp, bc))[2] as chunk_b
+from r where n <= 10
+"""
+
+
+@QUERIES.query("p5_found", P5)
+def p5_found(t: Tables) -> DataFrame:
+    return near_pairs(t.posts_vectors)
+
+
 @QUERIES.query("p7_ids")
 def p7_ids(t: Tables) -> DataFrame:
     return encode_corpus(t.documents)

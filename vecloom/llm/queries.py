@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from ..plans.registry import Registry, Tables
 from .bpe import encode_corpus
+from .languages import document_languages, fit, relabelled
 from .neighbours import near_pairs
 from .packing import pack
 from .pieces import split_oversized
@@ -65,3 +66,15 @@ def p7_ids(t: Tables) -> DataFrame:
 @QUERIES.query("p8_packed")
 def p8_packed(t: Tables) -> DataFrame:
     return pack(encode_corpus(t.documents, count_only=True), "doc_id", "n_tokens")
+
+
+@QUERIES.query("p9_found")
+def p9_found(t: Tables) -> DataFrame:
+    docs = t.documents.select("doc_id", "text", "lang")
+    return relabelled(t.spark, docs).select("doc_id", "seg_no", "lang")
+
+
+@QUERIES.query("p9_languages")
+def p9_languages(t: Tables) -> DataFrame:
+    docs = t.documents.select("doc_id", "text", "lang")
+    return document_languages(t.spark, docs, fit(docs)).select("doc_id", "seg_no", "lang", "confidence", "sentences")

@@ -1,5 +1,6 @@
 """Registry of the runnable queries and their SQL equivalents."""
 
+from .retrieval import QUERIES as RETRIEVAL
 from .upkeep import QUERIES as UPKEEP
 
-REGISTRIES = [UPKEEP]
+REGISTRIES = [RETRIEVAL, UPKEEP]

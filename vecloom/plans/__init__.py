@@ -1,6 +1,7 @@
 """Registry of the runnable queries and their SQL equivalents."""
 
+from .replication import QUERIES as REPLICATION
 from .retrieval import QUERIES as RETRIEVAL
 from .upkeep import QUERIES as UPKEEP
 
-REGISTRIES = [RETRIEVAL, UPKEEP]
+REGISTRIES = [RETRIEVAL, REPLICATION, UPKEEP]

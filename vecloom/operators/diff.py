@@ -74,9 +74,12 @@ def post_of_name(posts: DataFrame, accounts: DataFrame, permlinks: DataFrame) ->
     return names.groupBy("author", "permlink").agg(F.max("best").alias("best")).select("author", "permlink", F.col("best.id").alias("post_id"))
 
 
-def current(rows: DataFrame, keys: Sequence[str], seq: str = "sync_seq") -> DataFrame:
-    """Rows with the highest seq of their key. The maximum is combined map-side, so a hot key costs no window."""
-    top = rows.groupBy(*keys).agg(F.max(seq).alias(seq))
+def current(rows: DataFrame, keys: Sequence[str], seq: str = "sync_seq", top: DataFrame | None = None) -> DataFrame:
+    """Rows with the highest seq of their key, looked up in ``top`` where rows are only some of its rows.
+
+    The maximum is combined map-side, so a hot key costs no window.
+    """
+    top = (rows if top is None else top).groupBy(*keys).agg(F.max(seq).alias(seq))
     return rows.join(top, [*keys, seq])
 
 

@@ -129,7 +129,7 @@ def due_posts(spark: SparkSession, vectors: DataFrame, posts: DataFrame, runs: D
         return seqs.join(blocks, [PART, "post_id"], "full").select("post_id", "seq", "block", PART)
 
     table = PartitionedRefresh(spark, path, buckets).refresh(sources, "post_id", state)
-    known = runs.filter(F.col("consumer").isNotNull())
+    known = runs.filter(F.col("consumer").isNotNull()).select("run_id", "consumer", "after_seq", "last_seq", "after_block", "last_block", "status", "reported_at")
     limits = table.agg(F.min("seq").alias("s0"), F.max("seq").alias("s1"), F.min("block").alias("b0"), F.max("block").alias("b1"))
     owners = known.select("consumer").distinct().join(F.broadcast(limits), F.lit(True))  # limits is one row
     done = last_report(known).filter(F.lower(F.trim("status")) == "done")

@@ -56,7 +56,7 @@ def eligible(corpus: Corpus, vectors: DataFrame, config: Config, observer: int =
     data = corpus.post_data.select("post_id", "number_of_tokens")
     if config.min_token_search_threshold > 0:
         data = data.filter(F.col("number_of_tokens") >= config.min_token_search_threshold)
-    rows = vectors
+    rows = vectors.select([c for c in ("post_id", "chunk_number", "embedding", "reduced_embedding", "similarity") if c in vectors.columns])
     if exclude is not None:
         rows = rows.filter(F.col("post_id") != exclude)
     posts = hide_muted(corpus.posts.select(F.col("id").alias("post_id"), "author_id"), corpus.muted, observer)

@@ -19,7 +19,7 @@ pv as (
   from posts_vectors v join (select post_id, max(sync_seq) sync_seq from posts_vectors group by post_id) m using (post_id, sync_seq)
   where len(v.embedding) = 64 and list_sum(list_transform(v.embedding, lambda x: abs(x))) > 0),
 pd as (select post_id, max(number_of_tokens) number_of_tokens, max(last_vectors_block) last_vectors_block from post_data group by post_id),
-mute as (select (id % 4) + 1 observer_id, id muted_id from hive_accounts where id % 3 = 0),
+mute as (select length(name) - 8 observer_id, id muted_id from hive_accounts where length(name) between 9 and 12),
 q as (select post_id, e from pv order by post_id, chunk_number limit 1)"""
 
 
@@ -33,7 +33,8 @@ def metadata(t: Tables) -> DataFrame:
 
 
 def muted(t: Tables) -> DataFrame:
-    return t.hive_accounts.filter("id % 3 = 0").select((F.col("id") % 4 + 1).alias("observer_id"), F.col("id").alias("muted_id"))
+    """Observers 1 to 4 mute the accounts with names of 9 to 12 characters."""
+    return t.hive_accounts.filter("length(name) between 9 and 12").select((F.length("name") - 8).alias("observer_id"), F.col("id").alias("muted_id"))
 
 
 def corpus(t: Tables) -> Corpus:

@@ -142,9 +142,9 @@ def wn05(t: Tables) -> DataFrame:
     return prefer_live(t.hive_posts, ["author_id", "permlink_id"])
 
 
-@QUERIES.query("wn10_ordinality", "select p.id, u.i::int as pos, u.x::int as x from hive_posts p, (select unnest([0, 1, 2]) i, unnest([30, 10, 20]) x) u where p.id <= 100")
+@QUERIES.query("wn10_ordinality", "select p.id, u.i::int as pos, u.x::int as x from hive_posts p, (select unnest([0, 1, 2]) i, unnest([30, 10, 20]) x) u")
 def wn10(t: Tables) -> DataFrame:
-    return t.hive_posts.filter("id <= 100").select("id", F.posexplode(F.array(F.lit(30), F.lit(10), F.lit(20))).alias("pos", "x"))
+    return t.hive_posts.select("id", F.posexplode(F.array(F.lit(30), F.lit(10), F.lit(20))).alias("pos", "x"))
 
 
 @QUERIES.query("tk02_candidate_counts", "select l as limit_, greatest(least(l * 5, 50000), 1000) as posts, greatest(least(l * 10, 50000), 1000) as authors from (values (1), (100), (500), (1000), (20000)) v(l)")
@@ -165,9 +165,9 @@ def tk05(t: Tables) -> DataFrame:
 
 
 # -- sets ------------------------------------------------------------------------------------------------------
-@QUERIES.query("st03_except_union", "select post_id from (select post_id from posts_vectors except select post_id from post_data where number_of_tokens < 100) union select id from hive_posts where id % 10 = 0")
+@QUERIES.query("st03_except_union", "select post_id from (select post_id from posts_vectors except select post_id from post_data where number_of_tokens < 100) union select id from hive_posts where counter_deleted > 0")
 def st03(t: Tables) -> DataFrame:
-    return t.posts_vectors.select("post_id").subtract(t.post_data.filter("number_of_tokens < 100").select("post_id")).union(t.hive_posts.filter("id % 10 = 0").select("id")).distinct()
+    return t.posts_vectors.select("post_id").subtract(t.post_data.filter("number_of_tokens < 100").select("post_id")).union(t.hive_posts.filter("counter_deleted > 0").select("id")).distinct()
 
 
 @QUERIES.query("st04_intersections", "select author_id, len(list_intersect(list(id), list(permlink_id)))::int as common from hive_posts group by 1")

@@ -45,20 +45,25 @@ def wn08(t: Tables) -> DataFrame:
     return store.tasks(_range(t), 100)
 
 
-# A batch over the store: posts of the range, every third without chunks; the others' vectors come back unchanged.
+# A batch over the store: posts of the range, those of fewer than 150 tokens without chunks; the others' vectors come back unchanged.
 _BATCH = f"""
 with {SQL}, {_RANGE},
-pre as (select post_id, block block_num, (post_id % 300)::int token_count from r),
-nv as (select post_id, chunk_number, e from pv where post_id in (select post_id from pre) and post_id % 3 <> 0),
+pre as (select r.post_id, block block_num, coalesce(number_of_tokens, 0) token_count from r left join pd using (post_id)),
+nv as (select post_id, chunk_number, e from pv where post_id in (select post_id from pre where token_count >= 150)),
 num as (select *, exists (select 1 from nv where nv.post_id = pre.post_id) had from pre),
 s as (select *, (10000000 + row_number() over (order by had, post_id))::int sync_seq from num),
-mk as (select post_id, (max(sync_seq) + 1)::int sync_seq from pv where post_id % 11 = 0 group by 1),"""
+mk as (select id post_id, (1000000 + id)::int sync_seq from hive_posts where counter_deleted > 0),"""
+
+
+def _deleted(t: Tables) -> DataFrame:
+    """Delete markers of posts that are gone."""
+    return t.hive_posts.filter("counter_deleted > 0").select(F.col("id").alias("post_id"), (F.col("id") + 1_000_000).alias("sync_seq"))
 
 
 def _batch(t: Tables) -> store.Tables:
-    now = store.Tables(metadata(t), vectors(t), vectors(t).filter("post_id % 11 = 0").groupBy("post_id").agg((F.max("sync_seq") + 1).alias("sync_seq")))
-    pre = _range(t).select("post_id", F.col("block").alias("block_num"), (F.col("post_id") % 300).alias("token_count"))
-    new = now.vectors.join(pre, "post_id", "left_semi").filter("post_id % 3 != 0").select("post_id", "chunk_number", "embedding")
+    now = store.Tables(metadata(t), vectors(t), _deleted(t))
+    pre = _range(t).join(metadata(t), "post_id", "left").select("post_id", F.col("block").alias("block_num"), F.coalesce("number_of_tokens", F.lit(0)).alias("token_count"))
+    new = now.vectors.join(pre.filter("token_count >= 150"), "post_id", "left_semi").select("post_id", "chunk_number", "embedding")
     return store.store_embeddings(now, pre, new, 10_000_000)
 
 
@@ -87,10 +92,9 @@ def in02_metadata(t: Tables) -> DataFrame:
     return _batch(t).post_data
 
 
-@QUERIES.query("in03_visible_seq", f"with {SQL}, mk as (select (max(sync_seq) + 1) m from pv where post_id % 11 = 0) select greatest(coalesce((select max(sync_seq) from pv), 0), coalesce((select m from mk), 0))::int as max_visible_sync_seq")
+@QUERIES.query("in03_visible_seq", f"with {SQL}, mk as (select max(1000000 + id) m from hive_posts where counter_deleted > 0) select greatest(coalesce((select max(sync_seq) from pv), 0), coalesce((select m from mk), 0))::int as max_visible_sync_seq")
 def in03(t: Tables) -> DataFrame:
-    v = vectors(t)
-    return store.visible_seq(v, v.filter("post_id % 11 = 0").select("post_id", (F.col("sync_seq") + 1).alias("sync_seq")))
+    return store.visible_seq(vectors(t), _deleted(t))
 
 
 @QUERIES.query(
@@ -127,7 +131,7 @@ def tx05(t: Tables) -> DataFrame:
 # -- feed ------------------------------------------------------------------------------------------------------
 _FEED = f"""
 with {SQL}, rows_ as (select distinct sync_seq, post_id from pv),
-mk as (select distinct sync_seq, post_id from pv where post_id % 7 = 0 union select distinct sync_seq + 1000000, post_id from pv where post_id % 11 = 0),
+mk as (select max(sync_seq) sync_seq, post_id from posts_vectors group by post_id having min(sync_seq) < max(sync_seq) union select 1000000 + id, id from hive_posts where counter_deleted > 0),
 a as (select * from rows_ where sync_seq > 100 and sync_seq <= {{top}} order by sync_seq, post_id limit {{n}}),
 b as (select * from mk where sync_seq > 100 and sync_seq <= {{top}} order by sync_seq, post_id limit {{n}}),
 ops as (select coalesce(a.sync_seq, b.sync_seq) sync_seq, coalesce(a.post_id, b.post_id) post_id,
@@ -135,15 +139,16 @@ ops as (select coalesce(a.sync_seq, b.sync_seq) sync_seq, coalesce(a.post_id, b.
   from a full join b on a.sync_seq = b.sync_seq and a.post_id = b.post_id order by 1, 2 limit {{n}})"""
 
 
-def _markers(v: DataFrame) -> DataFrame:
-    same = v.filter("post_id % 7 = 0").select("sync_seq", "post_id")
-    return same.union(v.filter("post_id % 11 = 0").select(F.col("sync_seq") + 1_000_000, "post_id")).distinct()
+def _markers(t: Tables) -> DataFrame:
+    """One under the current number of every post that had rows before, and those of deleted posts."""
+    again = t.posts_vectors.groupBy("post_id").agg(F.min("sync_seq").alias("a"), F.max("sync_seq").alias("sync_seq")).filter("a < sync_seq")
+    return again.select("sync_seq", "post_id").unionByName(_deleted(t))
 
 
 @QUERIES.query("cf02_page_ops", _FEED.format(top=2_000_000, n=1000) + " select sync_seq, post_id, op from ops")
 def cf02(t: Tables) -> DataFrame:
     v = vectors(t)
-    return feed.page_ops(v, _markers(v), 100, 1000, 2_000_000)
+    return feed.page_ops(v, _markers(t), 100, 1000, 2_000_000)
 
 
 @QUERIES.query(
@@ -157,7 +162,7 @@ select sync_seq, op, author, permlink, number_of_tokens, last_vectors_block, (se
 def cf01(t: Tables) -> DataFrame:
     v = vectors(t)
     names = feed.names_of_posts(t.hive_posts, t.hive_accounts, t.hive_permlink_data)
-    page = feed.embedding_updates(v, _markers(v), metadata(t), names, config(sync_uuid="own", max_visible_sync_seq=900), 100, 500, "own")
+    page = feed.embedding_updates(v, _markers(t), metadata(t), names, config(sync_uuid="own", max_visible_sync_seq=900), 100, 500, "own")
     firsts = F.transform("embeddings", lambda v: F.round(F.element_at(v, 1).cast("double"), 5))
     return page.withColumns({"n_vectors": F.size("embeddings"), "firsts": firsts}).drop("embeddings")
 
@@ -235,10 +240,9 @@ def cf11(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(s.last_seq, s.last_block, s.skipped_ops, s.inserts, s.deletes)], "last_seq int, last_block int, skipped_ops long, inserts long, deletes long")
 
 
-@QUERIES.query("cf07_last_seq", f"with {SQL} select max(sync_seq) as last_seq from pv")
+@QUERIES.query("cf07_last_seq", f"with {SQL} select greatest((select max(sync_seq) from pv), (select max(1000000 + id) from hive_posts where counter_deleted > 0)) as last_seq")
 def cf07(t: Tables) -> DataFrame:
-    v = vectors(t)
-    return t.spark.createDataFrame([(feed.last_seq(v, v.filter("post_id % 7 = 0")),)], "last_seq int")
+    return t.spark.createDataFrame([(feed.last_seq(vectors(t), _markers(t)),)], "last_seq int")
 
 
 @QUERIES.query("src07_feed_pull")
@@ -248,12 +252,12 @@ def src07(t: Tables) -> DataFrame:
     from ..sources.feed import COLUMNS, FeedSource
 
     path = workspace(t.spark, "pages")
-    v = vectors(t).filter("sync_seq <= 160")
-    page = feed.embedding_updates(v, _markers(v), metadata(t), feed.names_of_posts(t.hive_posts, t.hive_accounts, t.hive_permlink_data), config(sync_uuid="own", max_visible_sync_seq=10_000_000), 0, 50, "own")
+    v = vectors(t)
+    page = feed.embedding_updates(v, _markers(t), metadata(t), feed.names_of_posts(t.hive_posts, t.hive_accounts, t.hive_permlink_data), config(sync_uuid="own", max_visible_sync_seq=10_000_000), 0, 1000, "own")
     text = page.agg(F.to_json(F.collect_list(F.struct(*COLUMNS))).alias("j")).first().j
     SharedFiles(t.spark, path).write("page-0.json", text)
     t.spark.dataSource.register(FeedSource)
-    return t.spark.read.format("vecloom_feed").option("folder", path.removeprefix("file://").removeprefix("file:")).option("page_size", "20").load().drop("embeddings")
+    return t.spark.read.format("vecloom_feed").option("folder", path.removeprefix("file://").removeprefix("file:")).option("page_size", "200").load().drop("embeddings")
 
 
 # -- rebase ----------------------------------------------------------------------------------------------------
@@ -267,7 +271,7 @@ fo as (select distinct sync_seq, regexp_replace(lower(trim(author, E' \\t\\n\\r'
 dd as (select distinct author, permlink, sync_seq from fo where op = 'delete'),
 dp as (select author, permlink, max(number_of_tokens) number_of_tokens, max(last_vectors_block) last_vectors_block from fo group by 1, 2),
 dr as (select distinct a.name author, k.permlink from hive_posts p join hive_accounts a on a.id = p.author_id join hive_permlink_data k on k.id = p.permlink_id
-  where (p.root_id = p.id or p.root_id = 0) and p.counter_deleted = 0 and p.id % 5 <> 0),
+  where (p.root_id = p.id or p.root_id = 0) and p.counter_deleted = 0 and p.block_num_created < 80000300),
 an as (select author, permlink from dv union select author, permlink from dd union select author, permlink from dp union select author, permlink from dr),
 nm as (select a.name author, k.permlink, arg_max(p.id, (p.counter_deleted = 0)::int::bigint * 10000000000 + p.id) post_id from hive_posts p join hive_accounts a on a.id = p.author_id join hive_permlink_data k on k.id = p.permlink_id group by 1, 2),
 na as (select an.*, nm.post_id from an left join nm using (author, permlink)),
@@ -289,7 +293,7 @@ def _dump(t: Tables) -> rebase.Dump:
     old = current(old.na.drop(subset=by), by).filter(usable(F.col("v"), 64)).select(*by, "chunk_number", to_text(F.col("v").cast("array<float>")).alias("embedding"), "sync_seq").distinct()
     ops = t.embeddingupdate.select("sync_seq", name_of("author").alias("author"), name_of("permlink").alias("permlink"), trimmed("op").alias("op"), "number_of_tokens", "last_vectors_block").na.drop(subset=["sync_seq", *by])
     roots = (
-        t.hive_posts.filter(((F.col("root_id") == F.col("id")) | (F.col("root_id") == 0)) & (F.col("counter_deleted") == 0) & (F.col("id") % 5 != 0))
+        t.hive_posts.filter(((F.col("root_id") == F.col("id")) | (F.col("root_id") == 0)) & (F.col("counter_deleted") == 0) & (F.col("block_num_created") < 80000300))
         .join(t.hive_accounts.select(F.col("id").alias("author_id"), F.col("name").alias("author")), "author_id")
         .join(t.hive_permlink_data.select(F.col("id").alias("permlink_id"), "permlink"), "permlink_id")
     )

@@ -40,19 +40,30 @@ class _Text(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.parts: list[str] = []
         self.inside: list[str] = []
+        self.joined = False  # the last event was text too
 
     def handle_starttag(self, tag: str, attrs: object) -> None:
+        self.joined = False
         if tag in DROPPED and tag not in VOID:
             self.inside.append(tag)
 
     def handle_endtag(self, tag: str) -> None:
+        self.joined = False
         if tag in self.inside:
             while self.inside and self.inside.pop() != tag:
                 pass
 
+    def handle_comment(self, data: str) -> None:
+        self.joined = False
+
     def handle_data(self, data: str) -> None:
-        if not self.inside and data:
+        if self.inside or not data:
+            return
+        if self.joined:
+            self.parts[-1] += data
+        else:
             self.parts.append(data)
+        self.joined = True
 
 
 def html_text(text: str) -> str:
@@ -187,6 +198,7 @@ def tokenizer(path: str | None):
 # -- sentences and chunks --------------------------------------------------------------------------------------
 _SPACE = re.compile(r"\s+")
 _RULES = re.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+(?=[\"'“‘(\[¿¡]?[^\W\d_a-z])|(?<=[。？！।॥۔؟])[」』”]?\s*|\r?\n+")
+_CLOSED = re.compile(r'"[^"\n]*"|“[^”\n]*”|«[^»\n]*»|\([^()\n]*\)|\[[^\[\]\n]*\]')
 _ABBREVIATED = re.compile(r"(?:\b(?:Mr|Mrs|Ms|Dr|Prof|St|No|vs|etc|e\.g|i\.e|approx|Fig|Vol)|\b[A-Z])\.$")
 _UNIVERSAL, _CJK, _DIGITS = re.compile(UNIVERSAL_END), re.compile(CJK_END), re.compile(DIGIT_BRACKET)
 _PAIRS = (('"', '"'), ("“", "”"), ("'", "'"), ("(", ")"), ("[", "]"))
@@ -203,8 +215,13 @@ def rule_sentences(text: str, language: str) -> tuple[list[str], int]:
         return [p for p in _CJK.split(text) if p], 0
     if _DIGITS.search(text):
         return [p for p in _UNIVERSAL.split(text) if p], 1
-    out, start = [], 0
+    closed = [m.span() for m in _CLOSED.finditer(text)]
+    out, start, k = [], 0, 0
     for m in _RULES.finditer(text):
+        while k < len(closed) and closed[k][1] <= m.start():
+            k += 1
+        if k < len(closed) and closed[k][0] < m.start() and m.end() < closed[k][1]:
+            continue  # quotations and parentheses stay whole
         piece = text[start : m.start()]
         tail = m.group().rstrip()
         if "\n" not in m.group() and _ABBREVIATED.search(piece):

@@ -49,6 +49,7 @@ _URL = regex.compile(r"(?:https?://|www\.)[A-Za-z0-9\-._~:/?#\[\]@!$&'()*+,;=%]+
 _MARKER = regex.compile(r"\s*(?:[-*+•‣·>]\s+)*(?:\(?\d{1,3}[.)]|[a-zA-Z]\))(?=\s)")
 _THAI_GAP = regex.compile(r"(?<=[฀-๿”\"’»)])[ \t 　]+")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}.'’\-]+$")
+_LETTER_DOT = regex.compile(r"\p{L}\.")
 _NEXT_LETTER = regex.compile(r"\p{L}")
 ALWAYS = frozenset("。！？｡؟۔।॥")
 # Particles that tie a caseless quotation to the words after it.
@@ -287,8 +288,8 @@ def _after_mark(line: str, at: int, end: int, stop: int, start: int, base_lower:
         return not (c.isalpha() and _cased(c) == -1)
     if before.isalpha() and _cased(before) != 0 or "؀" <= before <= "ۿ":
         alone = at < 2 or not (line[at - 2].isalnum() or line[at - 2] in "'’")
-        if alone and before.isalpha():
-            return False  # an initial
+        if alone and before.isalpha() and (_cased(before) >= 0 or c.isdigit() or _LETTER_DOT.match(line, i)):
+            return False  # an initial, or the first of several letters
     if before.isdigit():
         m = _WORD.search(line, start, at)
         number = m.group() if m else ""

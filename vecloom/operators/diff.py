@@ -99,8 +99,8 @@ def vector_diff(legacy: DataFrame, vectors: DataFrame, posts: DataFrame, account
     def side(rows: DataFrame, vec: Column) -> DataFrame:
         v = rows.select(*keys, F.col("sync_seq").cast("long").alias("sync_seq"), vec.alias("v"))
         v = v.withColumn("embedding", F.when(usable(F.col("v"), dims), F.col("v"))).groupBy(*keys).agg(F.max(F.struct("sync_seq", "embedding")).alias("m")).select(*keys, "m.sync_seq", "m.embedding")
-        n = norm(F.col("embedding"))
-        return v.withColumn("cell", F.transform("embedding", lambda x: F.round(x / (n * F.lit(step))).cast("int")))
+        width = F.array_repeat(norm(F.col("embedding")) * F.lit(step), dims)  # once a row; inside the lambda it would be worked out for every number
+        return v.withColumn("cell", F.zip_with("embedding", width, lambda x, w: F.floor(x / w + 0.5)))
 
     names = post_of_name(posts, accounts, permlinks)
     old = legacy.select(name_of("author").alias("author"), name_of("permlink").alias("permlink"), "chunk_number", "embedding", "sync_seq").na.drop(subset=[*keys, "sync_seq"])

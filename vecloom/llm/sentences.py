@@ -48,6 +48,9 @@ _STACK = regex.compile("[" + regex.escape("".join(sorted(OPENERS | CLOSERS | set
 _URL = regex.compile(r"(?:https?://|www\.)[A-Za-z0-9\-._~:/?#\[\]@!$&'()*+,;=%]+")
 _MARKER = regex.compile(r"\s*(?:[-*+•‣·>]\s+)*(?:\(?\d{1,3}[.)]|[a-zA-Z]\))(?=\s)")
 _THAI_GAP = regex.compile(r"(?<=[฀-๿”\"’»)])[ \t 　]+")
+_THAI = regex.compile(r"[฀-๿]")
+_CAPITAL = regex.compile(r"[\p{Lu}\p{Lt}]")
+_SMALL = regex.compile(r"(?s)(?:[^\p{Ll}]*+\p{Ll}){20}")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}.'’\-]+$")
 _LETTER_DOT = regex.compile(r"\p{L}\.")
 _NEXT_LETTER = regex.compile(r"\p{L}")
@@ -169,7 +172,7 @@ def _line_ends(line: str, base_lower: bool) -> Iterator[int]:
     events += [(m.start(), m.end(), 0) for m in _MARK.finditer(line)]
     for s, e in pairs:
         events.append((e, e + 1, 1))
-    if any("฀" <= c <= "๿" for c in line):
+    if _THAI.search(line):
         events += [(m.start(), m.start(), 2) for m in _THAI_GAP.finditer(line)]
     if not events:
         return
@@ -198,7 +201,7 @@ def _line_ends(line: str, base_lower: bool) -> Iterator[int]:
                 continue
             if prev in CLOSERS or prev == "’":
                 s = starts.get(at - 1)
-                if s is None or not any("฀" <= c <= "๿" for c in line[s:at]):
+                if s is None or not _THAI.search(line, s, at):
                     continue
             if line[nxt] == "ๆ":
                 continue
@@ -307,8 +310,7 @@ def sentence_ends(text: str | None) -> list[int]:
     """Offsets behind each sentence, trailing white space excluded; the empty list for null and blank texts."""
     if not text:
         return []
-    letters = [c for c in text if c.isalpha() and (c.islower() or c.isupper())]
-    base_lower = len(letters) >= 20 and not any(c.isupper() for c in letters)
+    base_lower = not _CAPITAL.search(text) and bool(_SMALL.match(text))  # a text without capitals says nothing by small letters
     out: list[int] = []
     for m in _LINE.finditer(text):
         line, base = m.group(), m.start()

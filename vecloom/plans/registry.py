@@ -7,9 +7,16 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 Run = Callable[[SparkSession, str], DataFrame]
 
 
+def ready(spark: SparkSession) -> SparkSession:
+    ship(spark)
+    return spark
+
+
 class Tables:
     """The tables of a folder, read on demand: ``t.orders``."""
 
@@ -31,7 +38,7 @@ class Registry:
         def add(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
             if name in self.runs:
                 raise ValueError(f"query {name} is already registered")
-            self.runs[name] = lambda spark, folder: fn(Tables(spark, folder))
+            self.runs[name] = lambda spark, folder: fn(Tables(ready(spark), folder))
             if sql:
                 self.sqls[name] = sql
             return fn

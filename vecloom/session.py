@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,7 +25,35 @@ def build_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in the Python workers, once a context: a zip in the shared folder, added to the job.
+
+    Queries do this by themselves; programs that call operators in a session of their own call it first.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_vecloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(root):  # not when the package itself runs from a zip that was shipped already
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+            for folder, _, names in sorted(os.walk(root)):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        z.writestr(zipfile.ZipInfo(os.path.relpath(path, os.path.dirname(root))), open(path, "rb").read())
+        data = held.getvalue()
+        name = f"vecloom-{hashlib.sha256(data).hexdigest()[:16]}.zip"
+        files = SharedFiles(spark, f"{shared_dir(spark)}/vecloom")
+        if not files.exists(name):
+            files.write_bytes(name, data)
+        sc.addPyFile(f"{shared_dir(spark)}/vecloom/{name}")
+    sc._vecloom_shipped = True
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -85,10 +116,13 @@ class SharedFiles:
             stream.close()
 
     def write(self, name: str, text: str) -> None:
+        self.write_bytes(name, text.encode())
+
+    def write_bytes(self, name: str, data: bytes) -> None:
         """Appears whole or not at all: written aside, then renamed."""
         aside = self._path(f"{name}.tmp-{uuid.uuid4().hex[:8]}")
         stream = self._fs.create(aside, True)
-        stream.write(bytearray(text.encode()))
+        stream.write(bytearray(data))
         stream.close()
         if not self._fs.rename(aside, self._path(name)):
             self._fs.delete(aside, False)

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vecloom.llm import neighbours
 from vecloom.llm.neighbours import CrossPolytope, near_pairs, nearest, sketch, unsketch
 
 SCHEMA = "post_id int, chunk_number int, embedding array<float>"
@@ -94,3 +95,44 @@ def test_current_usable_pairs(spark):
     got = sorted(tuple(r) for r in near_pairs(df, 4, tables=8).collect())
     assert got == [(1, 0, 2, 0), (1, 0, 2, 1), (2, 0, 2, 1)]
     assert near_pairs(df.limit(0), 4).count() == 0
+
+
+def hard_pairs(n=1500):
+    """Pairs (i, n + i) at a cosine of just above 0.9."""
+    x, z = np.random.default_rng(8).normal(size=(2, n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    return np.float32(np.concatenate([x, 0.901 * x + np.sqrt(1 - 0.901**2) * z]))
+
+
+@pytest.mark.parametrize("cap, levels", [(4096, 3), (8, 1), (2, 2), (1, 3)])
+def test_recall_holds_at_every_depth_with_the_parameters_of_production(spark, monkeypatch, cap, levels):
+    """Cap 8 compares buckets in blocks, the smaller ones divide them once and twice, whatever it gains."""
+    for name, value in (("DIVIDE", 1), ("SHRINK", 0), ("LEVELS", levels)) if cap < 4096 else ():
+        monkeypatch.setattr(neighbours, name, value, raising=False)
+    x = hard_pairs()
+    ids = [(i, 0) for i in range(len(x))]
+    share = recall(found(nearest(make(spark, (ids, x)), ("post_id", "chunk_number"), "embedding", cap=cap)), brute(ids, x, 10, 0.9))
+    print(f"recall with cap {cap}: {share:.4f}")
+    assert share > 0.97
+
+
+@pytest.mark.parametrize("depth", [0, 1, 2])
+def test_pairs_meet_as_surely_in_divided_buckets(depth):
+    """Every bucket is divided, those of single rows too."""
+    x, cp, divided = hard_pairs(600), CrossPolytope(64, 3), []
+    for level in range(depth):
+        divided.append({(t, c) for t in range(3) for _, code, d, _ in cp.paths(x, t, divided, True) if d == level for c in code.tolist()})
+    met = np.zeros(600, bool)
+    for t in range(3):
+        at = {}
+        for rows, code, d, home in cp.paths(x, t, divided, True):
+            assert d == depth
+            for r, c in zip(rows.tolist(), code.tolist()):
+                at.setdefault(c, []).append((r, home))
+        for held in at.values():
+            for r, home in held:
+                met[r % 600] |= any(s == (r + 600) % 1200 and (home or h) for s, h in held)
+    print(f"met at depth {depth}: {met.mean():.4f}")
+    assert met.mean() > 0.96

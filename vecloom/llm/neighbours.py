@@ -2,8 +2,9 @@
 
 Exact copies are collapsed to classes first. A unit vector is pseudo-rotated (three rounds of random signs and a
 fast Hadamard transform) and hashed to the nearest signed axis; each of a few independent tables holds it in that bucket and is
-probed in the bucket of the second nearest axis as well. Buckets too large are divided by further hashes, and what is
-still too large then is compared in blocks, so no bucket is capped. In a bucket 4-bit sketches with a known error select candidates
+probed in the bucket of the second nearest axis as well. A bucket too large is compared in blocks, so none is capped. One so
+large that blocks would cost more copies is divided by a few independent further hashes, each probed in the same two axes, so
+that a pair of the bucket meets in one of the parts about as surely as a pair meets in one of the tables. In a bucket 4-bit sketches with a known error select candidates
 without losing a pair; only those are reranked with the whole vectors in double precision.
 """
 
@@ -19,6 +20,9 @@ from ..operators.diff import current
 from ..session import settle
 
 LEVELS = 3
+SUBS = 4  # independent divisions of a bucket
+SHRINK = 2  # times that division must lessen the comparisons within a bucket
+DIVIDE = 2 * SUBS  # blocks a row is copied to at most before division, which makes 2 * SUBS copies, is cheaper
 
 
 def _hadamard(n: int) -> np.ndarray:
@@ -29,22 +33,22 @@ def _hadamard(n: int) -> np.ndarray:
 
 
 class CrossPolytope:
-    """tables x LEVELS pseudo-rotations. The transform of a block of rows is one product with the Hadamard matrix a round."""
+    """tables x LEVELS x SUBS pseudo-rotations. The transform of a block of rows is one product with the Hadamard matrix a round."""
 
     def __init__(self, dims: int, tables: int, seed: int = 7):
         self.dims, self.tables = dims, tables
         self.width = 1 << max(1, (dims - 1).bit_length())
         rng = np.random.default_rng(seed)
-        self.signs = rng.choice(np.array([-1, 1], np.float32), (tables, LEVELS, 3, self.width))
+        self.signs = rng.choice(np.array([-1, 1], np.float32), (SUBS, tables, LEVELS, 3, self.width))
         self.h = _hadamard(self.width)
 
-    def axes(self, unit: np.ndarray, table: int, level: int, second: bool = False) -> np.ndarray:
+    def axes(self, unit: np.ndarray, table: int, level: int, second: bool = False, sub: int = 0) -> np.ndarray:
         """Nearest signed axis of each row, or the second nearest."""
         x = unit
         if self.width > self.dims:
             x = np.pad(x, ((0, 0), (0, self.width - self.dims)))
         for round_ in range(3):
-            x = (x * self.signs[table, level, round_]) @ self.h
+            x = (x * self.signs[sub, table, level, round_]) @ self.h
         size = np.abs(x)
         best = size.argmax(1)
         if second:
@@ -52,12 +56,27 @@ class CrossPolytope:
             best = size.argmax(1)
         return (best + self.width * (x[np.arange(len(x)), best] < 0)).astype(np.int64)
 
-    def path(self, unit: np.ndarray, table: int, level: int, second: bool) -> np.ndarray:
-        """Code of the first ``level`` + 1 hashes; a probe differs from the home bucket in the first."""
-        code = self.axes(unit, table, 0, second)
-        for k in range(1, level + 1):
-            code = code * (2 * self.width) + self.axes(unit, table, k)
-        return code
+    def paths(self, unit: np.ndarray, table: int, divided: list[set[tuple[int, int]]], probe: bool) -> Iterator[tuple[np.ndarray, np.ndarray, int, bool]]:
+        """(rows, bucket codes, depth, home) of one table; probe: also where a hash takes the second nearest axis.
+
+        divided: the buckets of each level that are divided. A row goes on into all SUBS divisions of its bucket.
+        """
+
+        def step(rows: np.ndarray, code: np.ndarray, level: int, home: bool) -> Iterator[tuple[np.ndarray, np.ndarray, int, bool]]:
+            deeper = np.zeros(len(code), bool)
+            if level < len(divided) and divided[level]:
+                deeper = np.array([(table, c) in divided[level] for c in code.tolist()], bool)
+            if not deeper.all():
+                yield rows[~deeper], code[~deeper], level, home
+            if deeper.any():
+                rows, code = rows[deeper], code[deeper]
+                for sub in range(SUBS):
+                    for second in (False, True)[: 1 + probe]:
+                        axis = self.axes(unit[rows], table, level + 1, second, sub)
+                        yield from step(rows, (code * SUBS + sub) * (2 * self.width) + axis, level + 1, home and not second)
+
+        for second in (False, True)[: 1 + probe]:
+            yield from step(np.arange(len(unit)), self.axes(unit, table, 0, second), 0, not second)
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -147,29 +166,37 @@ def near_classes(reps: DataFrame, raw: DataFrame, dims: int, floor: float, k: in
     estimated from it, so that sizing needs no shuffle of vectors.
     """
     cp = CrossPolytope(dims, tables)
-    bucket_count = 2 * cp.width
+    below_one = SUBS * 2 * cp.width
 
-    def count(level: int, within: frozenset | None) -> dict[tuple[int, int], int]:
-        """Classes in each bucket of a level above the cap; below the first level only in buckets that must be divided."""
+    def count(level: int, divided: list[set[tuple[int, int]]]) -> dict[tuple[int, int], int]:
+        """Classes in each bucket of a level above the cap; below the first level only in buckets that may be divided."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                unit = _unit(_matrix(batch.column(1), dims))
-                if not len(unit):
+                if not batch.num_rows:
                     continue
+                unit = _unit(_matrix(batch.column(1), dims))
                 for t in range(tables):
-                    code = cp.path(unit, t, level, False)
-                    keep = np.arange(len(code))
-                    if within is not None:
-                        keep = np.flatnonzero([(t, c) in within for c in (code // bucket_count).tolist()])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), t, np.int32)), pa.array(code[keep]), batch.column(0).take(pa.array(keep))], ["t", "code", "c1"])
+                    for rows, code, depth, _ in cp.paths(unit, t, divided, False):
+                        if depth == level:
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), t, np.int32)), pa.array(code), batch.column(0).take(pa.array(rows))], ["t", "code", "c1"])
 
         got = raw.select("c1", "embedding").mapInArrow(run, "t int, code long, c1 long").groupBy("t", "code").agg(F.approx_count_distinct("c1").alias("n")).filter(F.col("n") > cap)
-        return {(r.t, r.code): r.n for r in got.collect()}  # at most classes / cap entries
-
-    hot: list[dict[tuple[int, int], int]] = [count(0, None)]
-    while hot[-1] and len(hot) < LEVELS:
-        hot.append(count(len(hot), frozenset(hot[-1])))
+        return {(r.t, r.code): r.n for r in got.collect()}  # at most tables * SUBS ** level * classes / cap entries
+
+    divided: list[set[tuple[int, int]]] = []
+    blocks: list[dict[tuple[int, int], int]] = []  # of the buckets above the cap that aren't divided
+    over = count(0, [])
+    while over:
+        big = {b for b, n in over.items() if n > DIVIDE * cap} if len(divided) + 1 < LEVELS else set()
+        parts = count(len(divided) + 1, [*divided, big]) if big else {}
+        work = dict.fromkeys(big, 0)
+        for (t, code), n in parts.items():
+            if (t, code // below_one) in work:
+                work[t, code // below_one] += n * n
+        divided.append({b for b in big if SHRINK * work[b] < over[b] ** 2})  # a mass that no hash divides stays in blocks
+        blocks.append({b: -(-n // cap) for b, n in over.items() if b not in divided[-1]})
+        over = {(t, code): n for (t, code), n in parts.items() if (t, code // below_one) in divided[-1]}
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,32 +205,25 @@ def near_classes(reps: DataFrame, raw: DataFrame, dims: int, floor: float, k: in
             unit = _unit(_matrix(batch.column(2), dims))
             packed, step, lost = sketch(unit)
             c1 = np.asarray(batch.column(0))
+            bits = pa.FixedSizeBinaryArray.from_buffers(pa.binary(packed.shape[1]), len(packed), [None, pa.py_buffer(packed.tobytes())]).cast(pa.binary())
             for t in range(tables):
-                for second in (False, True):
-                    code = cp.path(unit, t, 0, second)
-                    depth = np.zeros(len(code), np.int64)
-                    for level in range(1, len(hot)):
-                        deeper = np.array([(t, c) in hot[level - 1] and d == level - 1 for c, d in zip(code.tolist(), depth.tolist())])
-                        if deeper.any():
-                            code = np.where(deeper, cp.path(unit, t, level, second), code)
-                            depth = np.where(deeper, level, depth)
-                    row = np.arange(len(code))
-                    blk = np.zeros(len(code), np.int32)
+                for row, code, depth, home in cp.paths(unit, t, divided, True):
+                    key = (code * LEVELS + depth) * tables + t
+                    blk = np.zeros(len(row), np.int32)
                     bi, bj = blk, blk
-                    if len(hot) == LEVELS and hot[-1]:
-                        parts = np.array([-(-hot[-1].get((t, c), 0) // cap) if d == LEVELS - 1 else 1 for c, d in zip(code.tolist(), depth.tolist())])
-                        parts = np.maximum(parts, 1)
-                        row = np.repeat(row, parts)
-                        other = np.concatenate([np.arange(p) for p in parts.tolist()])
-                        own = (c1.astype(np.uint64) % parts.astype(np.uint64)).astype(np.int64)[row]
-                        blk, bi, bj = own.astype(np.int32), np.minimum(own, other).astype(np.int32), np.maximum(own, other).astype(np.int32)
-                    take = pa.array(row)
-                    key = ((code * LEVELS + depth) * tables + t)[row]
-                    bits = pa.FixedSizeBinaryArray.from_buffers(pa.binary(packed.shape[1]), len(packed), [None, pa.py_buffer(packed.tobytes())]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key), pa.array(bi), pa.array(bj), pa.array(blk), pa.array(np.full(len(row), not second)), batch.column(0).take(take), batch.column(1).take(take), bits.take(take), pa.array(step).take(take), pa.array(lost).take(take)],
-                        ["key", "bi", "bj", "blk", "home", "c1", "c2", "bits", "step", "lost"],
-                    )
+                    if depth < len(blocks) and blocks[depth]:
+                        parts = np.array([blocks[depth].get((t, c), 1) for c in code.tolist()])
+                        own = np.repeat((c1[row].astype(np.uint64) % parts.astype(np.uint64)).astype(np.int32), parts)
+                        other = np.concatenate([np.arange(p, dtype=np.int32) for p in parts.tolist()])
+                        row, key = np.repeat(row, parts), np.repeat(key, parts)
+                        blk, bi, bj = own, np.minimum(own, other), np.maximum(own, other)
+                    for at in range(0, len(row), 1 << 16):
+                        s = slice(at, at + (1 << 16))
+                        take = pa.array(row[s])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(key[s]), pa.array(bi[s]), pa.array(bj[s]), pa.array(blk[s]), pa.array(np.full(len(take), home)), batch.column(0).take(take), batch.column(1).take(take), bits.take(take), pa.array(step).take(take), pa.array(lost).take(take)],
+                            ["key", "bi", "bj", "blk", "home", "c1", "c2", "bits", "step", "lost"],
+                        )
 
     names = ["a1", "a2", "b1", "b2", "key", "bi", "bj", "blk", "home"]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
@@ -240,7 +260,7 @@ def near_classes(reps: DataFrame, raw: DataFrame, dims: int, floor: float, k: in
     rows = reps.select("c1", "c2", "embedding").mapInArrow(emit, "key long, bi int, bj int, blk int, home boolean, c1 long, c2 int, bits binary, step float, lost float")
     kinds = "a1 long, a2 int, b1 long, b2 int"
     out = rows.groupBy("key", "bi", "bj").applyInArrow(compare, f"{kinds}, key long, bi int, bj int, blk int, home boolean")
-    out = out.repartition("a1", "a2")  # one exchange for both readers below and for the rerank
+    out = settle(out, "near-candidates")  # two readers below, whose filters would else be pushed into two runs of compare
     dense = out.filter("key is not null").select(F.col("a1").alias("c1"), F.col("a2").alias("c2"), "key", "bi", "bj", "blk", "home").join(reps, ["c1", "c2"])
     whole = dense.groupBy("key", "bi", "bj").applyInArrow(compare_whole, kinds)
     return out.filter("key is null").select("a1", "a2", "b1", "b2").unionByName(whole).distinct()

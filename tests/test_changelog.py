@@ -46,6 +46,20 @@ def test_runs_in_any_order_and_compaction(spark, path, seed):
     assert rows(log(spark, path).merged()) == state([*[(k, s, True, v) for k, s, v in state(changes)], *more])
 
 
+def test_a_late_put_of_a_deleted_key_stays_hidden_after_compaction(spark, path):
+    one = log(spark, path)
+    one.append(spark.createDataFrame([("a", 90, True, 1), ("b", 5, True, 2)], CHANGES), "r1")
+    one.append(spark.createDataFrame([("a", 100, False, None)], CHANGES), "r2")
+    one.compact("base")
+    one.append(spark.createDataFrame([("a", 90, True, 1), ("a", 99, True, 3)], CHANGES), "r3")
+    assert rows(one.merged()) == {("b", 5, 2)}
+    one.compact("base2")
+    one.append(spark.createDataFrame([("a", 90, True, 1)], CHANGES), "r4")
+    assert rows(one.merged()) == {("b", 5, 2)}
+    one.append(spark.createDataFrame([("a", 101, True, 4)], CHANGES), "r5")
+    assert rows(one.merged()) == {("a", 101, 4), ("b", 5, 2)}
+
+
 def test_the_merge_needs_no_shuffle(spark, path):
     one = log(spark, path)
     one.append(spark.createDataFrame([("a", 1, True, 1)], CHANGES), "r1")

@@ -3,7 +3,8 @@
 Change batches are appended as runs. A run holds the last operation of each key in the batch, sorted by key and
 sequence, deletes as tombstones, in hash buckets of the key. Reading merges the live runs bucket by bucket: all runs
 share the bucketing, so a task reads the same bucket of every run and no row is shuffled. The
-operation with the highest sequence wins and tombstones fall away. Compaction merges the runs into one. Which runs
+operation with the highest sequence wins and tombstones fall away. Compaction merges the runs into one and keeps the
+last tombstone of a key, which hides lower puts that arrive later. Which runs
 are live stands in a manifest that is replaced atomically, so a batch that died half-way is invisible.
 """
 
@@ -105,9 +106,9 @@ class ChangeLog:
         return state if tombstones else state.filter("put").drop("put")
 
     def compact(self, run: str) -> list[str]:
-        """Merges all live runs into one; tombstones have nothing left to hide and go."""
+        """Merges all live runs into one. Last tombstones stay: a lower put may still arrive late or again."""
         before = self.live()
-        state = self.merged().withColumn("put", F.lit(True)).withColumn(RUN, F.lit(run))
+        state = self.merged(tombstones=True).withColumn(RUN, F.lit(run))
         names = [f.name for f in self.payload]
         self._write(state.select(*self.keys, self.seq, "put", *names, RUN).sortWithinPartitions(*self.keys, self.seq))
         self._publish([run])

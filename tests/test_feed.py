@@ -145,6 +145,30 @@ def test_streams(spark, path):
     assert {x.post_id for x in r.store.tables().vectors.collect()} == {1, 2}
 
 
+@pytest.mark.parametrize("asked", [False, True])
+def test_a_stopped_stream_resumes_without_losing_posts(spark, path, asked):
+    folder = path.removeprefix("file://") + "/in"
+    os.makedirs(folder)
+    for i in (1, 2, 3):
+        with open(f"{folder}/{i}.json", "w") as f:
+            f.write(json.dumps({"post_id": i, "title": "t", "body": LONG, "block_num": i}) + "\n")
+        os.utime(f"{folder}/{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))
+    s = store.Store(spark, path + "/store")
+    if asked:
+        s.update(continue_processing=False)
+
+    def run(stop_at):
+        stream = spark.readStream.schema("post_id int, title string, body string, block_num int").option("maxFilesPerTrigger", 1).json(folder)
+        Ingest(s, CFG, HashingEmbedder(4), stop_at).writer(stream, path + "/ck").start().awaitTermination(120)
+
+    with pytest.raises(Exception, match="stop requested" if asked else "block limit reached"):
+        run(1)
+    assert s.status().last_block == (0 if asked else 1)
+    s.update(continue_processing=True)
+    run(None)
+    assert {r.post_id for r in s.tables().vectors.collect()} == {1, 2, 3} and s.status().last_block == 3
+
+
 # -- rebase ----------------------------------------------------------------------------------------------------
 def test_rebase(spark, path):
     hp = spark.createDataFrame([(i, i, 1, i, 5, 5, 0) for i in range(1, 7)], "id int, root_id int, author_id int, permlink_id int, block_num int, block_num_created int, counter_deleted int")

@@ -14,7 +14,7 @@ from vecloom.functions.embed import HashingEmbedder
 from vecloom.operators import feed, rebase, store
 from vecloom.operators.search import Corpus
 from vecloom.sources.feed import FeedSource
-from vecloom.sources.files import StatusLine, find_matrix, load_matrix, read_csv, save_matrix
+from vecloom.sources.files import StatusLine, find_matrix, load_matrix, read_csv, save_matrix, write_csv
 from vecloom.streaming.ingest import Ingest
 from vecloom.streaming.replicate import NotReady, Replica
 
@@ -274,3 +274,12 @@ def test_api_refuses(api, call, error):
 def test_nobody_found_is_an_object(api, spark):
     empty = Api(Corpus(api.corpus.vectors.limit(0), api.corpus.posts, api.corpus.post_data, api.corpus.muted, api.corpus.accounts, api.corpus.permlinks), api.config, api.embed, api.bodies)
     assert empty.authors_search("x") == {} and empty.posts_search("x") == []
+
+
+def test_csv_gives_every_string_back(spark, path):
+    odd = ["x", " Bob ", "\tann", "d\n", "\r", "a\rb", "\r\nc\r\n", "", None, " ", '"', '""', 'a"b', ",", "a,b", "\\", "\\n", "\u2028", "\u00a0"]
+    given = [(a, b, 1) for a in odd for b in odd] + [(None, None, None)]
+    df = spark.createDataFrame(given, "a string, b string, n int")
+    write_csv(df.coalesce(1), f"{path}/odd.csv")
+    back = [tuple(r) for r in read_csv(spark, f"{path}/odd.csv", "a string, b string, n int").collect()]
+    assert sorted(back, key=repr) == sorted(given, key=repr)

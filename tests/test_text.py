@@ -1,10 +1,12 @@
 """Cleaning, splitting and chunking of posts."""
 
+import re
+
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from vecloom.functions.text import Chunker, FileTokenizer, WordTokenizer, chunk_counters, chunk_posts, clean, guess_language, html_text, language_of, post_text, rule_sentences, split_cjk, split_universal, truncated
+from vecloom.functions.text import Chunker, FileTokenizer, WordTokenizer, chunk_counters, chunk_posts, clean, drop_unwanted, guess_language, html_text, language_of, post_text, rule_sentences, split_cjk, split_universal, truncated
 
 CASES = [
     ("a\x00b\x1cc\td", "abc\td"),
@@ -108,3 +110,10 @@ def test_tokenizer_file():
     P = pytest.importorskip("public_tokenizers")
     t = FileTokenizer(P.path("byte_bpe_50k.json"))
     assert t.decode(t.encode("hello world")) == "hello world" and Chunker(t, 10, 0.1).chunk("Hello there. " * 5).chunks
+
+
+def test_posting_lines_end_at_line_feeds_only(spark):
+    texts = ["Posted via x\u2028y\nz", "Posted via a\rb\r\nc", "**Posted via\u0085q"]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(texts)], "i int, s string")
+    want = [re.sub(r"Posted via.*$|[*_]+", "", s, flags=re.M) for s in texts]
+    assert [r.s for r in df.orderBy("i").select(drop_unwanted("s").alias("s")).collect()] == want

@@ -22,7 +22,7 @@ CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 LINK_TITLES = r"(?i)\[([^\]]+)\]\([^\)]+\)|!\[\]\([^)]*\)|!\S+\.(?:jpg|jpeg|png|gif)"
 IMAGES_URLS = r"(?i)(?:!\[.*?\]\(.*?\)|https?://\S+)"
 BASE64 = r"data:image\/[a-zA-Z]+;base64,[A-Za-z0-9+/=]+"
-UNWANTED = r"(?m)Posted via.*$|[*_]+"
+UNWANTED = r"(?md)Posted via.*$|[*_]+"
 # Scripts that settle the language, tested in this order.
 KOREAN, JAPANESE, CHINESE = r"[가-힯]", r"[぀-ゟ゠-ヿ]", r"[一-鿿]"
 # Sentence ends of the plain splitters.

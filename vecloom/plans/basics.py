@@ -227,6 +227,11 @@ def sf07(t: Tables) -> DataFrame:
     return plain.select("doc_id", tx.drop_unwanted("text").alias("text"))
 
 
+@QUERIES.query("sf07_unwanted_all_rows", "select doc_id, regexp_replace(text, '(?m)Posted via.*$|[*_]+', '', 'g') as text from documents where text is not null")
+def sf07_all(t: Tables) -> DataFrame:
+    return _docs(t).select("doc_id", tx.drop_unwanted("text").alias("text"))
+
+
 @QUERIES.query("sf08_collapsed", r"select doc_id, trim(regexp_replace(text, '[\t\n\x0b\f\r ]+', ' ', 'g'), ' ') as text from documents where text is not null")
 def sf08(t: Tables) -> DataFrame:
     return _docs(t).select("doc_id", tx.collapse("text").alias("text"))
@@ -287,11 +292,23 @@ def jf02(t: Tables) -> DataFrame:
 
 
 # -- sources ---------------------------------------------------------------------------------------------------
+def _dumped(t: Tables) -> DataFrame:
+    """The whole table after it has been written and read."""
+    path = workspace(t.spark, "csv") + "/old_vectors.csv"
+    files.write_csv(t.legacy_vectors_raw, path)
+    return files.read_csv(t.spark, path, files.OLD_VECTORS)
+
+
 @QUERIES.query("src04_csv_round_trip", "select author, permlink, chunk_number, sync_seq, length(embedding)::int as n from legacy_vectors_raw where permlink not like '%' || chr(10) || '%' and author not like '%' || chr(10) || '%' and embedding <> '' and author = trim(author, E' \\t\\n') and permlink = trim(permlink, E' \\t\\n')")
 def src04(t: Tables) -> DataFrame:
-    path = workspace(t.spark, "csv") + "/old_vectors.csv"
-    files.write_csv(t.legacy_vectors_raw.filter("embedding <> '' and author rlike '^\\\\S*$' and permlink rlike '^\\\\S*$'"), path)
-    return files.read_csv(t.spark, path, files.OLD_VECTORS).select("author", "permlink", "chunk_number", "sync_seq", F.length("embedding").alias("n"))
+    edge = lambda c: F.col(c) == F.trim(c, F.lit(" \t\n"))
+    plain = edge("author") & edge("permlink") & ~F.col("author").contains("\n") & ~F.col("permlink").contains("\n")
+    return _dumped(t).filter(plain & (F.col("embedding") != "")).select("author", "permlink", "chunk_number", "sync_seq", F.length("embedding").alias("n"))
+
+
+@QUERIES.query("src04_csv_all_rows", "select author, permlink, chunk_number, sync_seq, embedding from legacy_vectors_raw")
+def src04_all(t: Tables) -> DataFrame:
+    return _dumped(t).select("author", "permlink", "chunk_number", "sync_seq", "embedding")
 
 
 @QUERIES.query("src06_status_line")

@@ -15,18 +15,21 @@ from ..operators.rebase import Dump
 from ..schemas import OLD_DELETED, OLD_POST_DATA, OLD_ROOT_POSTS, OLD_VECTORS
 from ..session import SharedFiles
 
+SPACE = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+EMPTY = "\ue000empty\ue000"  # stands for a quoted empty string while a file is read
 DUMPS = {"old_vectors": OLD_VECTORS, "old_deleted": OLD_DELETED, "old_post_data": OLD_POST_DATA, "old_root_posts": OLD_ROOT_POSTS}
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with header; arrays as ``[x,y,...]``. Quotes are doubled, nulls empty, and empty strings quoted."""
+    """CSV with header; arrays as ``[x,y,...]``. Quotes are doubled, nulls empty, and empty strings quoted; white space stays."""
     flat = df.select(*[to_text(f.name).alias(f.name) if f.dataType.typeName() == "array" else F.col(f.name) for f in df.schema.fields])
-    flat.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", '""').csv(path)
+    flat.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", '""').option("lineSep", "\n").options(**SPACE).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV with header by a fixed schema; an empty (0-byte) file or folder is an empty table."""
-    return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    """CSV with header by a fixed schema, lines ending in LF; an empty (0-byte) file or folder is an empty table. Only an unquoted empty field is null."""
+    rows = spark.read.schema(schema).option("header", True).option("escape", '"').option("emptyValue", EMPTY).option("lineSep", "\n").option("multiLine", True).options(**SPACE).csv(path)
+    return rows.select(*[F.when(F.col(f.name) == EMPTY, "").otherwise(F.col(f.name)).alias(f.name) if f.dataType.typeName() == "string" else F.col(f.name) for f in rows.schema.fields])
 
 
 def write_dump(dump: Dump, folder: str) -> None:

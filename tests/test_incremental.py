@@ -40,6 +40,15 @@ def test_vanished_partitions_go_and_nulls_are_told_apart(spark, path):
     assert r.refresh({"a": table(spark, [(None, 5)])}, "k", total).count() == 0
 
 
+def test_a_partition_whose_derived_rows_all_vanish_goes(spark, path):
+    positive = lambda some: total({"a": some["a"].filter("v > 0")})
+    r = PartitionedRefresh(spark, path, 4)
+    r.refresh({"a": table(spark, [(1, 1), (2, 2), (3, 3)])}, "k", positive)
+    left = r.refresh({"a": table(spark, [(1, -1), (2, 2), (3, 3)])}, "k", positive)
+    assert {(x.k, x.v) for x in left.collect()} == {(2, 2), (3, 3)}
+    assert r.refresh({"a": table(spark, [(1, -1), (2, -2), (3, -3)])}, "k", positive).count() == 0
+
+
 def test_a_failed_run_is_done_again(spark, path):
     r = PartitionedRefresh(spark, path, 4)
     r.refresh({"a": table(spark, [(1, 1)])}, "k", total)

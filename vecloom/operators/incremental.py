@@ -63,11 +63,12 @@ class PartitionedRefresh:
             for name, df in sources.items():
                 rows = df.withColumn(PART, self.part(F.col(key))).filter(F.col(key).isNotNull())
                 some[name] = rows if len(self.changed) == self.buckets else rows.filter(F.col(PART).isin(self.changed))
+            held = {p: self.files.names(f"data/{PART}={p}") for p in self.changed}
             out = transform(some)
             out.repartition(F.col(PART)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(f"{self.path}/data")
-            live = {k[1] for k in now}
-            for gone in (p for p in self.changed if p not in live):
-                self.files.delete(f"data/{PART}={gone}")
+            for p, files in held.items():
+                if files and self.files.names(f"data/{PART}={p}") == files:  # no row was written, so nothing was replaced
+                    self.files.delete(f"data/{PART}={p}")
             rows = [(s, p, *v) for (s, p), v in now.items()]
             version = f"v{int(states[-1][1:]) + 1 if states else 0:09d}"
             self.spark.createDataFrame(rows, "source string, part int, n long, lo long, hi long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/state/{version}")

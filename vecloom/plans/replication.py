@@ -60,9 +60,9 @@ def _deleted(t: Tables) -> DataFrame:
     return t.hive_posts.filter("counter_deleted > 0").select(F.col("id").alias("post_id"), (F.col("id") + 1_000_000).alias("sync_seq"))
 
 
-def _batch(t: Tables) -> store.Tables:
+def _batch(t: Tables, ranged: DataFrame) -> store.Tables:
     now = store.Tables(metadata(t), vectors(t), _deleted(t))
-    pre = _range(t).join(metadata(t), "post_id", "left").select("post_id", F.col("block").alias("block_num"), F.coalesce("number_of_tokens", F.lit(0)).alias("token_count"))
+    pre = ranged.join(metadata(t), "post_id", "left").select("post_id", F.col("block").alias("block_num"), F.coalesce("number_of_tokens", F.lit(0)).alias("token_count"))
     new = now.vectors.join(pre.filter("token_count >= 150"), "post_id", "left_semi").select("post_id", "chunk_number", "embedding")
     return store.store_embeddings(now, pre, new, 10_000_000)
 
@@ -73,7 +73,7 @@ def _batch(t: Tables) -> store.Tables:
 select post_id, chunk_number, sync_seq from o""",
 )
 def in02_vectors(t: Tables) -> DataFrame:
-    return _batch(t).vectors.select("post_id", "chunk_number", "sync_seq")
+    return _batch(t, _range(t)).vectors.select("post_id", "chunk_number", "sync_seq")
 
 
 @QUERIES.query(
@@ -81,7 +81,7 @@ def in02_vectors(t: Tables) -> DataFrame:
     _BATCH + """o as (select * from mk union all select post_id, sync_seq from s where not had or exists (select 1 from pv where pv.post_id = s.post_id)) select post_id, sync_seq from o""",
 )
 def in02_markers(t: Tables) -> DataFrame:
-    return _batch(t).markers
+    return _batch(t, _range(t)).markers
 
 
 @QUERIES.query(
@@ -89,7 +89,41 @@ def in02_markers(t: Tables) -> DataFrame:
     _BATCH + """o as (select * from pd where post_id not in (select post_id from pre) union all select post_id, token_count, block_num from s) select post_id, number_of_tokens, last_vectors_block from o""",
 )
 def in02_metadata(t: Tables) -> DataFrame:
-    return _batch(t).post_data
+    return _batch(t, _range(t)).post_data
+
+
+# The same over the whole chain: the range from the lowest to the highest block of the table.
+_ALL = """r as (
+  select id post_id, greatest(block_num, block_num_created) block from hive_posts
+  where (root_id = id or root_id = 0) and (block_num_created is not null or block_num is not null))"""
+
+
+def _all(t: Tables) -> DataFrame:
+    first, last = t.hive_posts.agg(F.min(F.least("block_num", "block_num_created")), F.max(F.greatest("block_num", "block_num_created"))).collect()[0]
+    return store.posts_in_range(t.hive_posts, first, last)
+
+
+@QUERIES.query("in01_posts_all_blocks", f"with {_ALL} select post_id, block from r")
+def in01_all(t: Tables) -> DataFrame:
+    return _all(t)
+
+
+@QUERIES.query(
+    "wn08_tasks_all_blocks",
+    f"with {_ALL}, n as (select *, ((row_number() over (order by block, post_id) - 1) // 100)::int task from r) "
+    "select task, min(block) as first_block, max(block) as last_block, list(post_id order by block, post_id) as post_ids from n group by task",
+)
+def wn08_all(t: Tables) -> DataFrame:
+    return store.tasks(_all(t), 100)
+
+
+@QUERIES.query(
+    "in02_store_vectors_all_blocks",
+    _BATCH.replace(_RANGE, _ALL) + """o as (select post_id, chunk_number, sync_seq from pv where post_id not in (select post_id from pre) union all select nv.post_id, nv.chunk_number, s.sync_seq from nv join s using (post_id))
+select post_id, chunk_number, sync_seq from o""",
+)
+def in02_all(t: Tables) -> DataFrame:
+    return _batch(t, _all(t)).vectors.select("post_id", "chunk_number", "sync_seq")
 
 
 @QUERIES.query("in03_visible_seq", f"with {SQL}, mk as (select max(1000000 + id) m from hive_posts where counter_deleted > 0) select greatest(coalesce((select max(sync_seq) from pv), 0), coalesce((select m from mk), 0))::int as max_visible_sync_seq")

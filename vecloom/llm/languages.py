@@ -5,7 +5,8 @@ contain it. The masks of a sentence's n-grams give a count per language, which i
 best sequence of languages over the sentences, with a cost for a change, makes the segments.
 
 The filter is fitted on a bounded sample of labelled rows (``per_label`` documents a label, of at most ``max_chars``
-characters each); wrong labels in it are found by leave-one-out self-training before the n-grams are taken.
+characters each); wrong labels in it are found by leave-one-out self-training before the n-grams are taken, and which
+languages exist is decided by what the documents of each class bear, weighed by the counts of all labels.
 """
 
 from __future__ import annotations
@@ -155,6 +156,8 @@ class Filter:
 def _filter(sets: list[tuple[int, np.ndarray]], names: list[str], share: float) -> Filter:
     """From (language, n-grams of one document in it): an n-gram belongs to a language if at least two documents
     have it and its rate there is at least ``share`` of its highest rate anywhere."""
+    if len(names) > 64:
+        raise ValueError("more than 64 languages")
     grams, where = np.unique(np.concatenate([g for _, g in sets]), return_inverse=True)
     df = np.zeros((len(names), len(grams)), np.float32)
     at = 0
@@ -177,46 +180,61 @@ def _filter(sets: list[tuple[int, np.ndarray]], names: list[str], share: float)
     return Filter(names, rows, false)
 
 
-def _settle_labels(given: np.ndarray, sets: list[np.ndarray], classes: int, rounds: int, least: int) -> tuple[np.ndarray, list[int]]:
-    """Leave-one-out self-training: each document's own class, and the classes that most of their documents bear out."""
+def _settle_labels(given: np.ndarray, sets: list[np.ndarray], classes: int, rounds: int, least: int, weight: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Leave-one-out self-training: each document's language, and the languages that exist.
+
+    Documents gather in classes by their n-grams. A class is then named by the label that most of its documents bear, each
+    counting for as many documents of the corpus as it stands for (``weight``): a few documents under a wrong label
+    of their own draw the documents of the true language into one class with them, and that class bears the true name. A label
+    that names no class makes no language; how many of its own documents bear it out doesn't matter.
+    """
     grams, where = np.unique(np.concatenate(sets), return_inverse=True)
     cut = np.cumsum([0, *map(len, sets)])
     now = given.copy()
+    df = np.zeros((len(grams), classes), np.float32)
+    for i in range(len(sets)):
+        df[where[cut[i] : cut[i + 1]], now[i]] += 1
     for _ in range(rounds):
-        df = np.zeros((classes, len(grams)), np.float32)
-        for i in range(len(sets)):
-            df[now[i], where[cut[i] : cut[i + 1]]] += 1
         n = np.bincount(now, minlength=classes).astype(np.float32)
+        score = np.log(np.maximum(df / (n + 6), 0.02))  # a class of few documents knows little
         new = now.copy()
         for i in range(len(sets)):
-            own = df[:, where[cut[i] : cut[i + 1]]]
-            k = n.copy()
-            own[now[i]] -= 1  # leave the document itself out
-            k[now[i]] -= 1
-            rate = own / (k[:, None] + 6)  # a class of few documents knows little
-            score = np.log(np.maximum(rate, 0.02)).sum(1)
-            score[k < 1] = -np.inf
-            if np.isfinite(score).any():
-                new[i] = int(score.argmax())
-        if (new == now).all():
+            at, c = where[cut[i] : cut[i + 1]], now[i]
+            total = score[at].sum(0)
+            total[c] = np.log(np.maximum((df[at, c] - 1) / (n[c] + 5), 0.02)).sum()  # without the document itself
+            total[n - (np.arange(classes) == c) < 1] = -np.inf
+            if np.isfinite(total).any():
+                new[i] = int(total.argmax())
+        moved = np.flatnonzero(new != now)
+        if not len(moved):
             break
+        for i in moved:
+            at = where[cut[i] : cut[i + 1]]
+            df[at, now[i]] -= 1
+            df[at, new[i]] += 1
         now = new
-    kept = [L for L in range(classes) if (now == L).sum() >= least and ((now == L) & (given == L)).sum() >= 0.5 * (given == L).sum()]
-    return now, sorted(kept, key=lambda L: -(now == L).sum())[:64]
+    borne = np.zeros((classes, classes))
+    np.add.at(borne, (now, given), weight)
+    language = borne.argmax(1)[now]
+    size = np.bincount(language, minlength=classes)
+    return language, [int(L) for L in np.argsort(-size, kind="stable") if size[L] >= least]
 
 
-def build_filter(labelled: list[tuple[str, str]], rounds: int = 4, least: int = 3) -> Filter:
-    """labelled: (code, text). At most 64 languages; labels that their own documents don't bear out are dropped.
+def build_filter(labelled: list[tuple[str, str]], rounds: int = 4, least: int = 3, totals: dict[str, int] | None = None) -> Filter:
+    """labelled: (code, text). totals: documents of each code in the corpus, where the sample isn't all of it.
 
-    A first filter from whole documents tells the sentences of mixed documents apart; the final ones are taken from
-    each document's sentences in the language.
+    Repeated texts count once. A first filter from whole documents tells the sentences of mixed documents apart; the
+    final ones are taken from each document's sentences in the language.
     """
-    docs = [(c, u) for c, t in labelled if (u := units(t))]
+    docs = [(c, u) for c, t in sorted(set(labelled)) if (u := units(t))]
     if not docs:
         return Filter([], np.zeros(1, np.uint64), np.zeros(0))
     names = sorted({c for c, _ in docs})
+    given = np.array([names.index(c) for c, _ in docs])
+    taken = np.bincount(given)
+    weight = np.array([max(1, (totals or {}).get(c, 0) / n) for c, n in zip(names, taken)])[given]
     sets = [np.unique(_ngrams([u for u, _ in us])[0]) for _, us in docs]
-    now, kept = _settle_labels(np.array([names.index(c) for c, _ in docs]), sets, len(names), rounds, least)
+    now, kept = _settle_labels(given, sets, len(names), rounds, least, weight)
     if not kept:
         return Filter([], np.zeros(1, np.uint64), np.zeros(0))
     place = {L: i for i, L in enumerate(kept)}
@@ -291,11 +309,16 @@ def _stretches(lang: list[int], share: np.ndarray, n: np.ndarray, names: list[st
 
 
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", per_label: int = 150, max_chars: int = 20000) -> Filter:
-    """The filter from at most per_label labelled documents a label, chosen by hash of the key, same on every run."""
+    """The filter from at most per_label labelled documents a label, chosen by hash of the key, same on every run.
+
+    How many documents bear a label is counted over all of them.
+    """
     known = sorted(set(CODES.values()))
-    rows = docs.select(label_code(label).alias("code"), F.col(text).alias("text"), F.xxhash64(F.col(key)).alias("h")).filter(F.col("code").isin(*known) & F.col("text").isNotNull() & (F.length("text").between(20, max_chars)))
+    labelled = docs.select(label_code(label).alias("code"), F.col(text).alias("text"), F.col(key).alias("_key")).filter(F.col("code").isin(*known))
+    totals = {r.code: r.n for r in labelled.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a known code
+    rows = labelled.filter(F.col("text").isNotNull() & F.length("text").between(20, max_chars)).select("code", "text", F.xxhash64("_key").alias("h"))
     some = rows.withColumn("n", F.row_number().over(W.partitionBy("code").orderBy("h", "text"))).filter(F.col("n") <= per_label)
-    return build_filter(sorted((r.code, r.text) for r in some.select("code", "text").collect()))
+    return build_filter([(r.code, r.text) for r in some.select("code", "text").collect()], totals=totals)
 
 
 def document_languages(spark: SparkSession, docs: DataFrame, flt: Filter, key: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:

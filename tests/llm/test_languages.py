@@ -42,6 +42,18 @@ def test_wrong_labels_make_no_language(flt):
     assert set(flt.languages) == set(WORDS)
 
 
+def test_a_label_wrong_in_most_rows_still_makes_its_language():
+    """Es is wrong in 60 % of its rows; all rows of gl, fewer in the corpus, are Spanish too; ru is rare but true."""
+    rnd = random.Random(6)
+    labelled = [("en", text(rnd, "en")) for _ in range(60)] + [("es", text(rnd, "en")) for _ in range(36)] + [("es", text(rnd, "es")) for _ in range(24)]
+    labelled += [("gl", text(rnd, "es")) for _ in range(30)] + [("ru", text(rnd, "ru")) for _ in range(5)]
+    labelled += [("ru", labelled[0][1])] * 50  # a repost under a wrong label
+    flt = build_filter(labelled, totals={"en": 20000, "es": 900, "gl": 30, "ru": 55})
+    assert set(flt.languages) == {"en", "es", "ru"}
+    got = [(lang, langs(flt, text(rnd, lang, 2))) for lang in ("en", "es") for _ in range(40)]
+    assert all(g == [lang] for lang, g in got)
+
+
 def test_held_out_accuracy(flt):
     rnd = random.Random(2)
     got = [(lang, langs(flt, text(rnd, lang, 2))) for lang in WORDS for _ in range(40)]

@@ -65,7 +65,8 @@ _STRIP = [
     (regex.compile(r"(?<!\w)[@#][\w./\-]+"), " "),
     (regex.compile(r"[*_~]{2,}|^\s*(?:#{1,6}|>)\s+", regex.M), ""),
 ]
-_LETTERS = regex.compile(r"[^\p{L}\p{M}'’]+")
+_LETTERS = regex.compile(r"[^\p{L}\p{M}'’\n]+")
+_THAI_RUN = regex.compile(r"\p{Thai}{8}")
 _FINAL = regex.compile(r"[.!?…。！？｡．؟۔।॥][\"'’”»“)\]）」』\s\p{Emoji_Presentation}️‍\U0001F3FB-\U0001F3FF❤]*$")
 _ACCENTS = regex.compile("[̀-ͯ]")
 
@@ -82,9 +83,11 @@ def plain(text: str) -> str:
 
 
 def fold(text: str) -> str:
-    """Letters in lower case without accents, words parted by one space."""
-    text = unicodedata.normalize("NFC", _ACCENTS.sub("", unicodedata.normalize("NFD", text.lower())))
-    return _LETTERS.sub(" ", text).strip()
+    """Letters in lower case without accents, words parted by one space; line feeds stay."""
+    text = text.lower()
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", _ACCENTS.sub("", unicodedata.normalize("NFD", text)))
+    return _LETTERS.sub(" ", text)
 
 
 def units(text: str | None) -> list[tuple[str, bool]]:
@@ -92,14 +95,12 @@ def units(text: str | None) -> list[tuple[str, bool]]:
     if not text:
         return []
     text = plain(text)
-    out, start = [], 0
+    raw, start = [], 0
     for end in sentence_ends(text):
-        raw = text[start:end]
+        raw.append(text[start:end].replace("\n", " "))
         start = end
-        folded = fold(raw)
-        if folded:
-            out.append((folded, bool(_FINAL.search(raw)) or bool(regex.search(r"\p{Thai}{8}", raw))))
-    return out
+    folded = [f.strip() for f in fold("\n".join(raw)).split("\n")]  # at once: a unit holds no line feed
+    return [(f, bool(_FINAL.search(r)) or bool(_THAI_RUN.search(r))) for r, f in zip(raw, folded) if f]
 
 
 def _ngrams(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -148,31 +149,39 @@ class Filter:
     def counts(self, h: np.ndarray, owner: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
         """Per part: n-grams, and corrected count of each language."""
         n = np.bincount(owner, minlength=parts).astype(np.float64)
-        masks = self.masks(h)
-        hits = np.stack([np.bincount(owner, ((masks >> np.uint64(i)) & np.uint64(1)).astype(np.float64), minlength=parts) for i in range(len(self.languages))], 1)
+        width = -(-len(self.languages) // 8)
+        bits = np.unpackbits(self.masks(h).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width], axis=1, bitorder="little")
+        on = np.flatnonzero(bits.view(np.bool_))
+        wide = 8 * width
+        hits = np.bincount(owner[on // wide] * wide + on % wide, minlength=parts * wide).reshape(parts, wide)[:, : len(self.languages)].astype(np.float64)
         return n, np.maximum(0, (hits - n[:, None] * self.false) / (1 - self.false))
 
 
-def _filter(sets: list[tuple[int, np.ndarray]], names: list[str], share: float) -> Filter:
-    """From (language, n-grams of one document in it): an n-gram belongs to a language if at least two documents
-    have it and its rate there is at least ``share`` of its highest rate anywhere."""
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.diff(x, prepend=-1) != 0]
+
+
+def _frequencies(group: np.ndarray, gram: np.ndarray, language: np.ndarray, classes: int, grams: int) -> np.ndarray:
+    """(gram, language): groups of the language that have the gram. language: that of each group, below 0 for none."""
+    held = _distinct(group.astype(np.int64) * grams + gram)
+    lang = language[held // grams]
+    held, lang = held[lang >= 0], lang[lang >= 0]
+    return np.bincount(held % grams * classes + lang, minlength=grams * classes).reshape(grams, classes).astype(np.float32)
+
+
+def _filter(grams: np.ndarray, df: np.ndarray, n: np.ndarray, names: list[str], share: float) -> Filter:
+    """From (gram, language) frequencies: an n-gram belongs to a language if at least two documents
+    have it and its rate there is at least ``share`` of its highest rate anywhere. n: documents of each language."""
     if len(names) > 64:
         raise ValueError("more than 64 languages")
-    grams, where = np.unique(np.concatenate([g for _, g in sets]), return_inverse=True)
-    df = np.zeros((len(names), len(grams)), np.float32)
-    at = 0
-    for L, g in sets:
-        df[L, where[at : at + len(g)]] += 1
-        at += len(g)
-    n = np.bincount([L for L, _ in sets], minlength=len(names)).astype(np.float32)
-    rate = df / np.maximum(n, 1)[:, None]
-    inside = (df >= 2) & (rate >= share * rate.max(0)[None, :]) & (rate >= 0.005)
-    total = int(inside.any(0).sum())
-    rows = np.zeros(1 << max(10, int(np.ceil(np.log2(max(1, total) * 8)))), np.uint64)
+    rate = df / np.maximum(n, 1).astype(np.float32)
+    inside = (df >= 2) & (rate >= share * rate.max(1)[:, None]) & (rate >= 0.005)
     mask = np.zeros(len(grams), np.uint64)
     for i in range(len(names)):
-        mask |= inside[i].astype(np.uint64) << np.uint64(i)
+        mask |= inside[:, i].astype(np.uint64) << np.uint64(i)
     used = mask > 0
+    rows = np.zeros(1 << max(10, int(np.ceil(np.log2(max(1, int(used.sum())) * 8)))), np.uint64)
     with np.errstate(over="ignore"):
         for p in _PRIMES[:HASHES]:
             np.bitwise_or.at(rows, ((grams[used] * p) >> np.uint64(20)) & np.uint64(len(rows) - 1), mask[used])
@@ -180,26 +189,24 @@ def _filter(sets: list[tuple[int, np.ndarray]], names: list[str], share: float)
     return Filter(names, rows, false)
 
 
-def _settle_labels(given: np.ndarray, sets: list[np.ndarray], classes: int, rounds: int, least: int, weight: np.ndarray) -> tuple[np.ndarray, list[int]]:
+def _settle_labels(given: np.ndarray, held: np.ndarray, cut: np.ndarray, grams: int, classes: int, rounds: int, least: int, weight: np.ndarray) -> tuple[np.ndarray, list[int]]:
     """Leave-one-out self-training: each document's language, and the languages that exist.
 
-    Documents gather in classes by their n-grams. A class is then named by the label that most of its documents bear, each
-    counting for as many documents of the corpus as it stands for (``weight``): a few documents under a wrong label
-    of their own draw the documents of the true language into one class with them, and that class bears the true name. A label
-    that names no class makes no language; how many of its own documents bear it out doesn't matter.
+    held[cut[i]:cut[i + 1]]: the n-grams of document i. Documents gather in classes by their n-grams. A class is then
+    named by the label that most of its documents bear, each counting for as many documents of the corpus as it stands for
+    (``weight``): a few documents under a wrong label of their own draw the documents of the true language into one class with
+    them, and that class bears the true name. A label that names no class makes no language; how many of
+    its own documents bear it out doesn't matter.
     """
-    grams, where = np.unique(np.concatenate(sets), return_inverse=True)
-    cut = np.cumsum([0, *map(len, sets)])
     now = given.copy()
-    df = np.zeros((len(grams), classes), np.float32)
-    for i in range(len(sets)):
-        df[where[cut[i] : cut[i + 1]], now[i]] += 1
+    size = np.diff(cut)
+    df = np.bincount(held * classes + np.repeat(now, size), minlength=grams * classes).reshape(grams, classes).astype(np.float32)
     for _ in range(rounds):
         n = np.bincount(now, minlength=classes).astype(np.float32)
         score = np.log(np.maximum(df / (n + 6), 0.02))  # a class of few documents knows little
         new = now.copy()
-        for i in range(len(sets)):
-            at, c = where[cut[i] : cut[i + 1]], now[i]
+        for i, c in enumerate(now.tolist()):
+            at = held[cut[i] : cut[i + 1]]
             total = score[at].sum(0)
             total[c] = np.log(np.maximum((df[at, c] - 1) / (n[c] + 5), 0.02)).sum()  # without the document itself
             total[n - (np.arange(classes) == c) < 1] = -np.inf
@@ -208,8 +215,8 @@ def _settle_labels(given: np.ndarray, sets: list[np.ndarray], classes: int, roun
         moved = np.flatnonzero(new != now)
         if not len(moved):
             break
-        for i in moved:
-            at = where[cut[i] : cut[i + 1]]
+        for i in moved.tolist():
+            at = held[cut[i] : cut[i + 1]]
             df[at, now[i]] -= 1
             df[at, new[i]] += 1
         now = new
@@ -226,63 +233,77 @@ def build_filter(labelled: list[tuple[str, str]], rounds: int = 4, least: int =
     Repeated texts count once. A first filter from whole documents tells the sentences of mixed documents apart; the
     final ones are taken from each document's sentences in the language.
     """
+    nothing = Filter([], np.zeros(1, np.uint64), np.zeros(0))
     docs = [(c, u) for c, t in sorted(set(labelled)) if (u := units(t))]
     if not docs:
-        return Filter([], np.zeros(1, np.uint64), np.zeros(0))
+        return nothing
     names = sorted({c for c, _ in docs})
     given = np.array([names.index(c) for c, _ in docs])
-    taken = np.bincount(given)
-    weight = np.array([max(1, (totals or {}).get(c, 0) / n) for c, n in zip(names, taken)])[given]
-    sets = [np.unique(_ngrams([u for u, _ in us])[0]) for _, us in docs]
-    now, kept = _settle_labels(given, sets, len(names), rounds, least, weight)
+    weight = np.array([max(1, (totals or {}).get(c, 0) / n) for c, n in zip(names, np.bincount(given))])[given]
+    texts = [us for _, us in docs]
+    h, owner = _ngrams([u for us in texts for u, _ in us])
+    grams, gram = np.unique(h, return_inverse=True)
+    doc = np.repeat(np.arange(len(docs)), [len(us) for us in texts])  # of each unit
+    held = _distinct(doc[owner] * len(grams) + gram)
+    cut = np.searchsorted(held, np.arange(len(docs) + 1) * len(grams))
+    now, kept = _settle_labels(given, held % len(grams), cut, len(grams), len(names), rounds, least, weight)
     if not kept:
-        return Filter([], np.zeros(1, np.uint64), np.zeros(0))
-    place = {L: i for i, L in enumerate(kept)}
-    names = [names[L] for L in kept]
-    flt = _filter([(place[L], g) for L, g in zip(now.tolist(), sets) if L in place], names, 0.4)
+        return nothing
+    place = np.full(len(names), -1)
+    place[kept] = np.arange(len(kept))
+    names, now = [names[L] for L in kept], place[now]
+    count = lambda langs: np.bincount(langs[langs >= 0], minlength=len(names))
+    flt = _filter(grams, _frequencies(doc[owner], gram, now, len(names), len(grams)), count(now), names, 0.4)
     for _ in range(2):
-        found = segments(flt, [us for _, us in docs], by_unit=True, switch=3 * SWITCH)  # only what is clear
-        parts = []
-        for (_, us), langs in zip(docs, found):
-            for L in set(langs) - {-1}:
-                parts.append((L, np.unique(_ngrams([u for (u, _), x in zip(us, langs) if x == L])[0])))
-        if not parts:
+        found = np.concatenate(_segments(flt, texts, h, owner, True, 3 * SWITCH)).astype(np.int64)  # only what is clear
+        part, group = np.unique(doc * (len(names) + 1) + found + 1, return_inverse=True)  # a document's units in one language
+        langs = part % (len(names) + 1) - 1
+        if not (langs >= 0).any():
             break
-        flt = _filter(parts, names, 0.15)
+        flt = _filter(grams, _frequencies(group[owner], gram, langs, len(names), len(grams)), count(langs), names, 0.15)
     return flt
 
 
-def segments(flt: Filter, docs: list[list[tuple[str, bool]]], by_unit: bool = False, switch: float = SWITCH) -> list[list]:
-    """Per document (language, confidence, sentences) of each longest stretch in one language.
+def segments(flt: Filter, docs: list[list[tuple[str, bool]]]) -> list[list[tuple[str, float, int]]]:
+    """Per document (language, confidence, sentences) of each longest stretch in one language."""
+    return _segments(flt, docs, *_ngrams([u for d in docs for u, _ in d]))
+
+
+def _segments(flt: Filter, docs: list[list[tuple[str, bool]]], h: np.ndarray, owner: np.ndarray, by_unit: bool = False, switch: float = SWITCH) -> list[list]:
+    """``segments`` from the n-grams of all units.
 
     by_unit: instead the index of the language of each unit, -1 for those without a say.
     """
-    parts = [u for d in docs for u, _ in d]
+    parts = sum(map(len, docs))
     if not parts or not flt.languages:
         return [[-1] * len(d) if by_unit else [] for d in docs]
-    h, owner = _ngrams(parts)
-    n, hits = flt.counts(h, owner, len(parts))
+    n, hits = flt.counts(h, owner, parts)
     share = np.minimum(hits / np.maximum(n, 1)[:, None], 1)
     clear = (share.max(1) >= 0.3) & (n >= 3)
     cost = -n[:, None] * np.log(share + 0.03)
+    whole = np.fromiter((w for d in docs for _, w in d), bool, parts) & clear
     out, at = [], 0
     for d in docs:
-        here = clear[at : at + len(d)]
-        whole = np.array([w for _, w in d], bool) & here
-        voters = np.flatnonzero(whole if whole.any() else here)
-        langs = _path(cost[at + voters], switch) if len(voters) else []
+        voters = at + np.flatnonzero(whole[at : at + len(d)])
+        if not len(voters):
+            voters = at + np.flatnonzero(clear[at : at + len(d)])
+        langs = _path(cost[voters], switch) if len(voters) else np.empty(0, np.int64)
         if by_unit:
             each = np.full(len(d), -1)
-            each[voters] = langs
-            out.append(each.tolist())
+            each[voters - at] = langs
+            out.append(each)
         else:
-            out.append(_stretches(langs, share[at + voters], n[at + voters], flt.languages))
+            out.append(_stretches(langs, share[voters], n[voters], flt.languages))
         at += len(d)
     return out
 
 
-def _path(cost: np.ndarray, switch: float) -> list[int]:
+def _path(cost: np.ndarray, switch: float) -> np.ndarray:
     """The cheapest language of each sentence, a change costing ``switch``."""
+    one = cost.sum(0)
+    k = int(one.argmin())
+    if one[k] <= cost.min(1).sum() + switch:  # no path with a change costs less
+        return np.full(len(cost), k)
     best, back = cost[0].copy(), []
     for row in cost[1:]:
         k = int(best.argmin())
@@ -292,20 +313,19 @@ def _path(cost: np.ndarray, switch: float) -> list[int]:
     lang = [int(best.argmin())]
     for b in reversed(back):
         lang.append(int(b[lang[-1]]))
-    return lang[::-1]
-
-
-def _stretches(lang: list[int], share: np.ndarray, n: np.ndarray, names: list[str]) -> list[tuple[str, float, int]]:
-    out, start = [], 0
-    for i in range(1, len(lang) + 1):
-        if i == len(lang) or lang[i] != lang[start]:
-            s = (share[start:i] * n[start:i, None]).sum(0) / n[start:i].sum()
-            top = s[lang[start]]
-            rest = np.delete(s, lang[start])
-            margin = (top - (rest.max() if len(rest) else 0)) / max(top, 1e-9)
-            out.append((names[lang[start]], round(float(max(0, margin) * top), 4), i - start))
-            start = i
-    return out
+    return np.array(lang[::-1])
+
+
+def _stretches(lang: np.ndarray, share: np.ndarray, n: np.ndarray, names: list[str]) -> list[tuple[str, float, int]]:
+    if not len(lang):
+        return []
+    first = np.flatnonzero(np.diff(lang, prepend=-1))
+    weight = np.add.reduceat(share * n[:, None], first, axis=0) / np.add.reduceat(n, first)[:, None]
+    k, rows = lang[first], np.arange(len(first))
+    top = weight[rows, k]
+    weight[rows, k] = 0
+    sure = np.maximum(0, (top - weight.max(1)) / np.maximum(top, 1e-9)) * top
+    return [(names[i], round(c, 4), size) for i, c, size in zip(k.tolist(), sure.tolist(), np.diff(first, append=len(lang)).tolist())]
 
 
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", per_label: int = 150, max_chars: int = 20000) -> Filter:

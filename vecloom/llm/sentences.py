@@ -8,7 +8,7 @@ result are end offsets in code points.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import regex
@@ -37,11 +37,13 @@ TIMES = frozenset(("a.m", "p.m"))
 ORDINAL = frozenset("am der die das dem den des vom zum zur im bis seit ab beim jeder jede jedes".split())
 
 PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "【": "】", "〔": "〕", "「": "」", "『": "』", "《": "》", "〈": "〉", "«": "»", "‹": "›", "“": "”", "„": "“”", "‚": "‘’", "‟": "”", "〝": "〞〟"}
+OPENERS_OF = {c: frozenset(o for o, cs in PAIRS.items() if c in cs) for c in "".join(PAIRS.values())}
 CLOSERS = frozenset("".join(PAIRS.values()) + '"')
 OPENERS = frozenset(PAIRS) | frozenset('"')
 
 EMOJI = r"(?:[\U0001F1E6-\U0001F1FF]{2}|(?:[‼⁉™ℹ↔-↪⌚-⏿Ⓜ▪-◾☀-➿⤴⤵⬅-⭕〰〽㊗㊙\U0001F000-\U0001F1E5\U0001F200-\U0001FAFF][︎️⃣\U0001F3FB-\U0001F3FF]*)(?:‍[←-⯿\U0001F000-\U0001FAFF][︎️\U0001F3FB-\U0001F3FF]*)*)"
 _EMOJI = regex.compile(EMOJI)
+_EMOJI_LAST = regex.compile(EMOJI + "$")
 _LINE = regex.compile(r"[^\n\r  \x0b\x0c\x85]+")
 _MARK = regex.compile(r"[.!?…‥。！？｡．؟۔।॥!]+(?:[   ][!?]+)?")
 _STACK = regex.compile("[" + regex.escape("".join(sorted(OPENERS | CLOSERS | set("‘’"))), special_only=False) + "]")
@@ -108,36 +110,44 @@ def _cased(c: str) -> int:
 
 
 def _pairs(line: str) -> list[tuple[int, int]]:
-    """Outermost closed pairs of a line, both ends included."""
+    """Outermost closed pairs of a line, both ends included. Linear: the stack is searched only for an opener it holds."""
     stack: list[tuple[str, int]] = []
+    held: dict[str, int] = {}
     found: list[tuple[int, int]] = []
     n = len(line)
+
+    def push(c: str, i: int) -> None:
+        stack.append((c, i))
+        held[c] = held.get(c, 0) + 1
+
+    def close(openers: Iterable[str], i: int) -> bool:
+        """Closes the innermost of the openers, and drops what stayed open inside."""
+        if not any(held.get(o) for o in openers):
+            return False
+        while True:
+            o, at = stack.pop()
+            held[o] -= 1
+            if o in openers:
+                found.append((at, i))
+                return True
+
     for m in _STACK.finditer(line):
         i, c = m.start(), m.group()
         if c == '"':
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == '"'), -1)
-            if k >= 0:
-                found.append((stack[k][1], i))
-                del stack[k:]
-            elif not (i and line[i - 1].isdigit() and (i + 1 == n or not line[i + 1].isalpha())):
-                stack.append(('"', i))
-            continue
-        if c in "‘’":
-            inner = i and i + 1 < n and line[i - 1].isalpha() and line[i + 1].isalpha()
-            if inner:
-                continue
-            if c == "‘" and not (stack and stack[-1][0] == "‚"):
-                stack.append(("‘", i))
+            if not close('"', i) and not (i and line[i - 1].isdigit() and (i + 1 == n or not line[i + 1].isalpha())):
+                push('"', i)
+        elif c in "‘’":
+            top = stack[-1][0] if stack else ""
+            if i and i + 1 < n and line[i - 1].isalpha() and line[i + 1].isalpha():
                 continue
-            if stack and stack[-1][0] in "‘‚":
-                found.append((stack.pop()[1], i))
-            continue
-        k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in PAIRS and c in PAIRS[stack[k][0]]), -1)
-        if k >= 0:
-            found.append((stack[k][1], i))
-            del stack[k:]
-        elif c in PAIRS:
-            stack.append((c, i))
+            if c == "‘" and top != "‚":
+                push("‘", i)
+            elif top in ("‘", "‚"):
+                close(top, i)
+        elif not (c in OPENERS_OF and close(OPENERS_OF[c], i)) and c in PAIRS:
+            push(c, i)
+    if not found:
+        return found
     found.sort()
     outer: list[tuple[int, int]] = []
     for s, e in found:
@@ -210,7 +220,7 @@ def _line_ends(line: str, base_lower: bool) -> Iterator[int]:
             inner = line[starts[at] + 1 : at].rstrip()
             while inner and (inner[-1] in CLOSERS or inner[-1] == "’"):
                 inner = inner[:-1].rstrip()
-            while inner and (m := regex.search(EMOJI + "$", inner)):
+            while inner and (m := _EMOJI_LAST.search(inner)):
                 inner = inner[: m.start()].rstrip()
             if not inner or not _MARK.fullmatch(inner[-1]):
                 continue

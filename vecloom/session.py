@@ -102,6 +102,16 @@ class SharedFiles:
         path = self._path(below)
         return sorted(s.getPath().getName() for s in self._fs.listStatus(path)) if self._fs.exists(path) else []
 
+    def size(self, name: str) -> int:
+        """Bytes below a folder."""
+        return int(self._fs.getContentSummary(self._path(name)).getLength())
+
+    def uri(self) -> str:
+        """The folder as a URI that Python's file systems read, wherever a task runs."""
+        full = self._fs.makeQualified(self._root).toString()
+        scheme, _, rest = full.partition(":")
+        return f"{'s3' if scheme in ('s3a', 's3n') else scheme}://" + (rest if scheme == "file" else rest.lstrip("/"))
+
     def exists(self, name: str) -> bool:
         return self._fs.exists(self._path(name))
 

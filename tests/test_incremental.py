@@ -49,6 +49,20 @@ def test_a_partition_whose_derived_rows_all_vanish_goes(spark, path):
     assert r.refresh({"a": table(spark, [(1, -1), (2, -2), (3, -3)])}, "k", positive).count() == 0
 
 
+def test_partitions_follow_the_size_and_an_outgrown_table_is_rebuilt(spark, path):
+    class Small(PartitionedRefresh):
+        ROWS, LEAST = 10, 2
+
+    rows = [(i, i) for i in range(400)]
+    r = Small(spark, path)
+    assert r.refresh({"a": table(spark, rows[:20])}, "k", total).count() == 20 and r.buckets == 2
+    assert r.refresh({"a": table(spark, rows[:60])}, "k", total).count() == 60 and r.buckets == 2
+    assert {(x.k, x.v) for x in r.refresh({"a": table(spark, rows)}, "k", total).collect()} == set(rows) and r.buckets == 64
+    again = Small(spark, path)
+    assert again.refresh({"a": table(spark, rows)}, "k", total).count() == 400 and again.buckets == 64 and again.changed == []
+    assert sorted(n for n in r.files.names() if n.startswith("data")) == [r._layout()]
+
+
 def test_a_failed_run_is_done_again(spark, path):
     r = PartitionedRefresh(spark, path, 4)
     r.refresh({"a": table(spark, [(1, 1)])}, "k", total)
@@ -59,7 +73,7 @@ def test_a_failed_run_is_done_again(spark, path):
     with pytest.raises(RuntimeError):
         r.refresh({"a": table(spark, [(1, 2)])}, "k", broken)
     # data written but not the fingerprints: as if the driver had died in between
-    total({"a": table(spark, [(1, 7)]).withColumn("part", r.part(F.col("k")))}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{path}/data")
+    total({"a": table(spark, [(1, 7)]).withColumn("part", r.part(F.col("k")))}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{path}/{r._layout()}")
     out = r.refresh({"a": table(spark, [(1, 2)])}, "k", total)
     assert [(x.k, x.v) for x in out.collect()] == [(1, 2)]
 
@@ -102,7 +116,7 @@ def test_due_posts_against_brute_force(spark, path, seed):
         for k in range(rnd.randint(1, 3)):
             runs.append((i, c, maybe(a), a + 40, maybe(b), b + 15, rnd.choice(["done", "DONE", "running", "failed"]), maybe(f"2024-01-0{rnd.randint(1, 9)}")))
     runs += runs[:5]
-    got = due_posts(spark, spark.createDataFrame(vectors, "post_id int, sync_seq int").withColumn("cell", F.lit(1)), spark.createDataFrame(posts, "post_id int, last_vectors_block int"), spark.createDataFrame(runs, RUNS), path, 4, width=16)
+    got = due_posts(spark, spark.createDataFrame(vectors, "post_id int, sync_seq int").withColumn("cell", F.lit(1)), spark.createDataFrame(posts, "post_id int, last_vectors_block int"), spark.createDataFrame(runs, RUNS), path, 4, width=16, cells=5)
     rows = [tuple(r) for r in got.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == brute(vectors, posts, runs)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.changelog import ChangeLog, feed_changes
 from ..operators.diff import vector_diff
-from ..operators.incremental import due_posts
+from ..operators.incremental import done_runs, due_posts, post_states
 from ..session import workspace
 from .registry import Registry, Tables
 
@@ -37,9 +37,40 @@ where (seq is not null and not exists (select 1 from ok where ok.c = consumer an
 """
 
 
+def _as_of_last_run(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """posts_vectors and post_data as they stood at the end of the last successful run of any consumer."""
+    upto = done_runs(t.sync_runs).agg(F.max("last_seq").alias("seq"), F.max("last_block").alias("block")).collect()[0]  # one row
+    return t.posts_vectors.filter(F.col("sync_seq") <= (upto.seq or 0)), t.post_data.filter(F.col("last_vectors_block") <= (upto.block or 0))
+
+
 @QUERIES.query("p1_found", P1)
 def p1_found(t: Tables) -> DataFrame:
-    return due_posts(t.spark, t.posts_vectors, t.post_data, t.sync_runs, workspace(t.spark, "p1"))
+    """The state is kept as of the last successful run and then brought up to date, as in every run of a consumer: only the
+    partitions that have got records since are recomputed."""
+    path = workspace(t.spark, "p1")
+    post_states(t.spark, *_as_of_last_run(t), path)
+    return due_posts(t.spark, t.posts_vectors, t.post_data, t.sync_runs, path)
+
+
+@QUERIES.query(
+    "p1_recomputed",
+    """
+with r as (select arg_max(struct_pack(l := last_seq, b := last_block, s := status), struct_pack(r := reported_at, c := consumer, a := after_seq, l := last_seq, ab := after_block, lb := last_block, s := status)) m
+  from sync_runs where consumer is not null group by run_id),
+u as (select coalesce(max(m.l), 0) seq, coalesce(max(m.b), 0) block from r where lower(trim(m.s)) = 'done'),
+p as (select 'as of the last run' step, post_id, 1 k from posts_vectors, u where sync_seq <= seq union all select 'as of the last run', post_id, 1 from post_data, u where last_vectors_block between 0 and block
+  union all select s, post_id, k from (values ('now', 2), ('again', 3)) x(s, k), (select post_id from posts_vectors union all select post_id from post_data where last_vectors_block >= 0))
+select step, count(distinct post_id) posts, k = 1 as all_partitions, k < 3 as some_partitions from p where post_id is not null group by step, k
+""",
+)
+def p1_recomputed(t: Tables) -> DataFrame:
+    """(step, posts, all_partitions, some_partitions): posts in the derived table after each of three refreshes, and whether
+    all partitions or any were recomputed."""
+    path, rows = workspace(t.spark, "p1r"), []
+    for step, sources in (("as of the last run", _as_of_last_run(t)), ("now", (t.posts_vectors, t.post_data)), ("again", (t.posts_vectors, t.post_data))):
+        table, kept = post_states(t.spark, *sources, path)
+        rows.append((step, table.count(), len(kept.changed) == kept.buckets, bool(kept.changed)))
+    return t.spark.createDataFrame(rows, "step string, posts long, all_partitions boolean, some_partitions boolean")
 
 
 P2 = f"""

@@ -4,14 +4,14 @@ import random
 
 from pyspark.sql import functions as F
 
-from vecloom.operators.diff import differences, mismatched, vector_diff
+from vecloom.operators.diff import differences, leaf_sums, mismatched, vector_diff
 
 SIDE = "k int, a int, b string"
 
 
-def diff(spark, old, new, levels=(4, 8)):
+def diff(spark, old, new, per_leaf=2):
     f = {n: (F.col(n), lambda x, y: ~x.eqNullSafe(y)) for n in ("a", "b")}
-    out = differences(spark.createDataFrame(old, SIDE), spark.createDataFrame(new, SIDE), ["k"], f, levels)
+    out = differences(spark.createDataFrame(old, SIDE), spark.createDataFrame(new, SIDE), ["k"], f, per_leaf=per_leaf)
     return sorted((r.k, r.what) for r in out.collect())
 
 
@@ -43,10 +43,28 @@ def test_equal_and_empty_sides(spark):
 def test_only_mismatched_ranges_are_compared(spark):
     from vecloom.functions.names import row_hash
 
-    side = lambda rows: spark.createDataFrame(rows, SIDE).withColumns({"_key": row_hash("k"), "_row": row_hash("k", "a", "b")})
+    side = lambda rows: leaf_sums(spark.createDataFrame(rows, SIDE).withColumns({"_key": row_hash("k"), "_row": row_hash("k", "a", "b")}), 12)
     old = [(i, i, "x") for i in range(200)]
     new = [*old[:-1], (199, 0, "x")]
-    assert mismatched(side(old), side(new), (4, 12)).count() == 1
+    for fan in (5, 12):
+        assert mismatched(side(old), side(new), 12, fan).count() == 1
+    assert mismatched(side(old), side(old[:0]), 12).count() == side(old).count()
+
+
+def test_fields_are_fetched_for_differing_rows_only(spark):
+    """The test of a field sees rows whose canonical values differ; null against a value differs without it."""
+    side = lambda rows: spark.createDataFrame(rows, "k int, c int")
+    old, new = [(i, i) for i in range(50)] + [(90, None), (91, None)], [(i, i + (i % 10 == 0)) for i in range(50)] + [(90, 1), (91, None)]
+    asked = {}
+
+    def fetch(name, rows):
+        got = [r.k for r in rows.collect()]
+        asked[name] = sorted(got)
+        return spark.createDataFrame([(k, float(k)) for k in got for _ in range(2)], "k int, v double")
+
+    out = differences(side(old), side(new), ["k"], {"v": (F.col("c"), lambda a, b: a >= 20)}, fetch, 4)
+    assert sorted((r.k, r.what) for r in out.collect()) == [(20, "v"), (30, "v"), (40, "v"), (90, "v")]
+    assert asked == {"old": [0, 10, 20, 30, 40], "new": [0, 10, 20, 30, 40]}
 
 
 def test_vectors_under_names(spark):

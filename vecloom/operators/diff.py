@@ -20,6 +20,7 @@ from ..session import settle
 
 FAN = 8  # bits of the key space that one level of the tree divides
 PER_LEAF = 32  # rows
+BROADCAST = 100_000  # rows of keys and hashes, some 20 MB
 #: fields: name -> (canonical column that enters the checksums, test of two values that says they differ; none: unequal canonical values do)
 Fields = dict[str, tuple[Column, Callable[[Column, Column], Column] | None]]
 
@@ -93,7 +94,9 @@ def differences(old: DataFrame, new: DataFrame, keys: Sequence[str], fields: Fie
     rows = settle(both.select(*[F.coalesce(F.col(f"a.{k}"), F.col(f"b.{k}")).alias(k) for k in keys], F.array(*what).alias("_what"), again, columns("a", old), columns("b", new)), "diff-rows")
     first = rows.select(*keys, F.explode(F.filter("_what", lambda x: x.isNotNull())).alias("what"))
     open_ = rows.filter("_again")
-    x, y = (fetch(name, open_.select(f"_{side}.*")).alias(side) for name, side in (("old", "a"), ("new", "b")))
+    small = open_.count() <= BROADCAST  # counted, so the bound is proven; beyond it both sides are shuffled
+    held = lambda df: F.broadcast(df) if small else df
+    x, y = (fetch(name, held(open_.select(f"_{side}.*"))).alias(side) for name, side in (("old", "a"), ("new", "b")))
     pairs = x.join(y, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys])
     second = pairs.select(*[F.col(f"a.{k}").alias(k) for k in keys], some([F.when(fields[f][1](F.col(f"a.{f}"), F.col(f"b.{f}")), F.lit(f)) for f in deep])).distinct()
     return first.unionByName(second)
@@ -144,7 +147,7 @@ def vector_diff(legacy: DataFrame, vectors: DataFrame, posts: DataFrame, account
 
     def one(rows: DataFrame, *others: str) -> DataFrame:
         m = F.max(F.struct("sync_seq", F.col("cell").isNotNull().alias("u"), "exact", "cell", *others)).alias("m")
-        return rows.groupBy(*keys).agg(m).select(*keys, *[f"m.{c}" for c in ("sync_seq", "exact", "cell", *others)])
+        return rows.groupBy(*keys, "sync_seq").agg(m).select(*keys, *[f"m.{c}" for c in ("sync_seq", "exact", "cell", *others)])
 
     names = post_of_name(posts, accounts, permlinks)
     texts = legacy.select(name_of("author").alias("author"), name_of("permlink").alias("permlink"), "chunk_number", "embedding", "sync_seq").na.drop(subset=[*keys, "sync_seq"])

@@ -1,7 +1,8 @@
 """Vector retrieval: posts near a vector, a text or a post.
 
 A search takes the nearest C chunks that pass the filters, keeps the best chunk of each post and ranks the
-posts. Distances are doubles rounded to 6 decimals before anything is ordered; ties go to the smaller post and chunk; NaN
+posts. The distance is worked out while the vectors are read, and from there on only post, chunk and distance move: no
+vector is shuffled. Distances are doubles rounded to 6 decimals before anything is ordered; ties go to the smaller post and chunk; NaN
 (zero or missing vectors) comes last. The candidate limit is a distributed top-k, so everything after it works on at most
 50 000 rows and a window over one partition is bounded.
 """
@@ -9,7 +10,7 @@ posts. Distances are doubles rounded to 6 decimals before anything is ordered; t
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +19,16 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..config import MAX_EXHAUSTIVE, MAX_POSTS, POST_FACTOR, Config, Debug, ann_candidates, clamp, gate
 from ..functions.names import name_of
 from ..functions.vectors import as_double, cosine_distance_to, subvector
+from .diff import current
 
 
 @dataclass
 class Corpus:
-    """The tables a search reads. reduced and matrix serve the projected mode."""
+    """The tables a search reads. reduced and matrix serve the projected mode.
+
+    versions: vectors (and reduced) come as delivered, with repeated rows, unusable vectors and rows of earlier versions
+    of a post, told apart by sync_seq; searches then look at usable vectors of current rows, each once.
+    """
 
     vectors: DataFrame
     posts: DataFrame
@@ -32,6 +38,7 @@ class Corpus:
     permlinks: DataFrame | None = None
     reduced: DataFrame | None = None
     matrix: Sequence[Sequence[float]] | None = None
+    versions: bool = False
 
 
 def rounded_distance(vec: Column | str, query: Sequence[float]) -> Column:
@@ -51,12 +58,24 @@ def hide_muted(rows: DataFrame, muted: DataFrame | None, observer: int, author:
     return rows.join(mine, author, "left_anti")
 
 
-def eligible(corpus: Corpus, vectors: DataFrame, config: Config, observer: int = 0, exclude: int | None = None) -> DataFrame:
-    """Chunks of known posts with metadata that pass the token, post and mute filters."""
+def measured(corpus: Corpus, table: DataFrame, **distances: Column) -> DataFrame:
+    """(post_id, chunk_number, distances) of every vector of a table, without the vector."""
+    if not corpus.versions:
+        return table.select("post_id", "chunk_number", *[d.alias(n) for n, d in distances.items()])
+    vec = "embedding" if "embedding" in table.columns else "reduced_embedding"
+    good = F.aggregate(as_double(vec), F.lit(0.0), lambda s, x: s + F.abs(F.coalesce(x, F.lit(float("nan")))))
+    rows = table.filter((good > 0) & ~F.isnan(good) & (good < float("inf"))) if vec == "embedding" else table
+    narrow = rows.select("post_id", "chunk_number", "sync_seq", *[d.alias(n) for n, d in distances.items()])
+    now = current(narrow, ["post_id"], top=corpus.vectors)
+    best = now.groupBy("post_id", "sync_seq", "chunk_number").agg(F.min(F.struct(*distances)).alias("_m"))
+    return best.select("post_id", "chunk_number", *[F.col(f"_m.{n}").alias(n) for n in distances])
+
+
+def eligible(corpus: Corpus, rows: DataFrame, config: Config, observer: int = 0, exclude: int | None = None) -> DataFrame:
+    """Measured chunks of known posts with metadata that pass the token, post and mute filters."""
     data = corpus.post_data.select("post_id", "number_of_tokens")
     if config.min_token_search_threshold > 0:
         data = data.filter(F.col("number_of_tokens") >= config.min_token_search_threshold)
-    rows = vectors.select([c for c in ("post_id", "chunk_number", "embedding", "reduced_embedding", "similarity") if c in vectors.columns])
     if exclude is not None:
         rows = rows.filter(F.col("post_id") != exclude)
     posts = hide_muted(corpus.posts.select(F.col("id").alias("post_id"), "author_id"), corpus.muted, observer)
@@ -78,27 +97,26 @@ def ranked(rows: DataFrame, limit: int) -> DataFrame:
 def nearest_chunks(corpus: Corpus, query: Sequence[float], config: Config, candidates: int, observer: int = 0, exclude: int | None = None, extra: Sequence[str] = ()) -> DataFrame:
     """(post_id, chunk_number, similarity, extra): the nearest candidates, reranked exactly in the reduced modes.
 
-    slice: candidates by the first reduced_dims numbers; the whole vector is in the same row, so the rerank needs no
-    join. pca: candidates by the stored projection, rerank by a join on post and chunk with the candidates on the small side.
-    The candidates' own chunks are reranked, other chunks of their posts aren't looked at.
+    slice: candidates by the first reduced_dims numbers; the whole vector is in the same row, so both distances come from one
+    reading. pca: candidates by the stored projection, rerank by reading the vectors once more beside the candidates, whose number
+    is the bound of what is broadcast. The candidates' own chunks are reranked, other chunks of their posts aren't looked at.
     """
     keys = ["post_id", "chunk_number", *extra]
-    near = lambda rows, d: rows.withColumn("_d", d).orderBy("_d", "post_id", "chunk_number").limit(candidates)
+    near = lambda rows, d: eligible(corpus, rows, config, observer, exclude).orderBy(d, "post_id", "chunk_number").limit(candidates)
     if config.reduction_mode == "pca":
         if corpus.reduced is None or corpus.matrix is None:
             raise ValueError("the projected mode needs reduced vectors and the matrix")
         reduced_query = [float(np.dot(row, query)) for row in np.asarray(corpus.matrix, float)]
-        rows = eligible(corpus, corpus.reduced, config, observer, exclude)
-        found = near(rows, rounded_distance("reduced_embedding", reduced_query)).select(*keys)
-        whole = found.join(corpus.vectors.select("post_id", "chunk_number", "embedding"), ["post_id", "chunk_number"])
-    else:
-        rows = eligible(corpus, corpus.vectors, config, observer, exclude)
-        if config.reduction_mode == "slice":
-            k = config.reduced_dims
-            whole = near(rows, rounded_distance(subvector("embedding", 1, k), list(query)[:k]))
-        else:
-            return near(rows, rounded_distance("embedding", query)).select(*keys, F.col("_d").alias("similarity"))
-    return whole.select(*keys, rounded_distance("embedding", query).alias("similarity"))
+        found = near(measured(corpus, corpus.reduced, _d=rounded_distance("reduced_embedding", reduced_query)), "_d").select(*keys)
+        ids = found.select("post_id", "chunk_number")
+        some = corpus.vectors.join(F.broadcast(ids), ["post_id", "chunk_number"], "left_semi")
+        whole = measured(replace(corpus, vectors=some), some, similarity=rounded_distance("embedding", query))
+        return found.join(whole, ["post_id", "chunk_number"]).select(*keys, "similarity")
+    if config.reduction_mode == "slice":
+        k = config.reduced_dims
+        rows = measured(corpus, corpus.vectors, _d=rounded_distance(subvector("embedding", 1, k), list(query)[:k]), similarity=rounded_distance("embedding", query))
+        return near(rows, "_d").select(*keys, "similarity")
+    return near(measured(corpus, corpus.vectors, similarity=rounded_distance("embedding", query)), "similarity").select(*keys, "similarity")
 
 
 def nearest_posts(corpus: Corpus, query: Sequence[float], config: Config, limit: int = 1000, exclude: int | None = None, observer: int = 0, debug: Debug | None = None) -> DataFrame:
@@ -116,7 +134,7 @@ def nearest_posts(corpus: Corpus, query: Sequence[float], config: Config, limit:
 
 def exhaustive_posts(corpus: Corpus, query: Sequence[float], config: Config, limit: int, exclude: int | None = None, observer: int = 0) -> DataFrame:
     """The limit comes before the filters here, so filtered chunks aren't replaced by farther ones."""
-    top = corpus.vectors.select("post_id", "chunk_number", rounded_distance("embedding", query).alias("similarity"))
+    top = measured(corpus, corpus.vectors, similarity=rounded_distance("embedding", query))
     top = top.orderBy("similarity", "post_id", "chunk_number").limit(min(limit * 10, MAX_EXHAUSTIVE))
     return ranked(best_chunks(eligible(corpus, top, config, observer, exclude)), limit)
 
@@ -129,8 +147,8 @@ def page_of_posts(corpus: Corpus, query: Sequence[float], config: Config, limit:
     row, so a page is a range filter on (distance, post) and a top-k: no ranking of the whole corpus.
     """
     open_config = config.with_(min_token_search_threshold=0)
-    rows = eligible(corpus, corpus.vectors, open_config, observer, exclude)
-    best = rows.withColumn("similarity", rounded_distance("embedding", query)).groupBy("post_id").agg(F.min(F.struct("similarity", "chunk_number")).alias("b")).select("post_id", "b.similarity", "b.chunk_number")
+    rows = eligible(corpus, measured(corpus, corpus.vectors, similarity=rounded_distance("embedding", query)), open_config, observer, exclude)
+    best = rows.groupBy("post_id").agg(F.min(F.struct("similarity", "chunk_number")).alias("b")).select("post_id", "b.similarity", "b.chunk_number")
     if after_post is not None:
         start = best.filter(F.col("post_id") == after_post).select(F.col("similarity").alias("_s"), F.col("post_id").alias("_p"))
         best = best.join(F.broadcast(start), (F.col("similarity") > F.col("_s")) | ((F.col("similarity") == F.col("_s")) & (F.col("post_id") > F.col("_p")))).drop("_s", "_p")
@@ -151,7 +169,10 @@ def post_id_of(corpus: Corpus, author: str, permlink: str) -> int | None:
 
 def first_vector(corpus: Corpus, post_id: int) -> list[float]:
     """The vector of a post's lowest chunk."""
-    rows = corpus.vectors.filter(F.col("post_id") == post_id).agg(F.min_by("embedding", "chunk_number").alias("v")).collect()
+    mine = corpus.vectors.filter(F.col("post_id") == post_id)
+    if corpus.versions:
+        mine = current(mine, ["post_id"])
+    rows = mine.filter(F.size("embedding") > 0).agg(F.min_by("embedding", "chunk_number").alias("v")).collect()
     if not rows or rows[0].v is None:
         raise LookupError(f"post {post_id} has no vector")
     return list(rows[0].v)
@@ -187,7 +208,7 @@ def batch_knn(queries: DataFrame, corpus: DataFrame, k: int, query_key: Sequence
     fields = [f"{x} {q.schema[x].dataType.simpleString()}" for x in qk] + [f"{x} {c.schema[x].dataType.simpleString()}" for x in ck]
 
     def unit(t: pa.Table) -> np.ndarray:
-        x = np.array(t.column("_v").to_pylist(), np.float64).reshape(t.num_rows, -1)
+        x = np.asarray(t.column("_v").combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1)
         n = np.sqrt((x * x).sum(1))
         with np.errstate(divide="ignore", invalid="ignore"):
             return x / n[:, None]

@@ -24,8 +24,10 @@ q as (select post_id, e from pv order by post_id, chunk_number limit 1)"""
 
 
 def vectors(t: Tables) -> DataFrame:
+    """Current usable vectors, once each. Rows of a post are current under one sync_seq, so grouping by that too needs no
+    shuffle of its own after the join that finds them."""
     rows = current(t.posts_vectors, ["post_id"]).filter(usable(F.col("embedding").cast("array<double>"), DIMS))
-    return rows.groupBy("post_id", "chunk_number").agg(F.max(F.struct("embedding", "sync_seq")).alias("m")).select("post_id", "chunk_number", "m.embedding", "m.sync_seq")
+    return rows.groupBy("post_id", "sync_seq", "chunk_number").agg(F.max("embedding").alias("embedding")).select("post_id", "chunk_number", "embedding", "sync_seq")
 
 
 def metadata(t: Tables) -> DataFrame:
@@ -38,13 +40,28 @@ def muted(t: Tables) -> DataFrame:
 
 
 def corpus(t: Tables) -> Corpus:
-    return Corpus(vectors(t), t.hive_posts, metadata(t), muted(t), t.hive_accounts, t.hive_permlink_data)
+    """The tables as they are: searches find the current rows themselves, on distances instead of vectors."""
+    return Corpus(t.posts_vectors, t.hive_posts, metadata(t), muted(t), t.hive_accounts, t.hive_permlink_data, versions=True)
 
 
-def first_query(c: Corpus) -> tuple[int, list[float]]:
+def first_keys(t: Tables, n: int) -> list[tuple[int, int]]:
+    """(post_id, chunk_number) of the first current usable vectors."""
+    narrow = t.posts_vectors.filter(usable(F.col("embedding").cast("array<double>"), DIMS)).select("post_id", "chunk_number", "sync_seq")
+    rows = current(narrow, ["post_id"], top=t.posts_vectors).select("post_id", "chunk_number").distinct()
+    return [tuple(r) for r in rows.orderBy("post_id", "chunk_number").limit(n).collect()]
+
+
+def first_vectors(t: Tables, n: int) -> list[list[float]]:
+    """Those vectors, in order."""
+    keys = first_keys(t, n)
+    some = current(t.posts_vectors.filter(F.col("post_id").isin(sorted({p for p, _ in keys}))), ["post_id"])
+    found = {(r.post_id, r.chunk_number): list(r.embedding) for r in some.filter(usable(F.col("embedding").cast("array<double>"), DIMS)).select("post_id", "chunk_number", "embedding").collect()}
+    return [found[k] for k in keys]
+
+
+def first_query(t: Tables) -> tuple[int, list[float]]:
     """The lowest post and the vector of its lowest chunk: the reference vector of the searches."""
-    r = c.vectors.orderBy("post_id", "chunk_number").select("post_id", "embedding").limit(1).collect()[0]
-    return r.post_id, list(r.embedding)
+    return first_keys(t, 1)[0][0], first_vectors(t, 1)[0]
 
 
 def config(**changes) -> Config:

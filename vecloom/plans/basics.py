@@ -15,7 +15,7 @@ from ..operators.recall import overlap
 from ..operators.search import hide_muted, root_post
 from ..session import SharedFiles, workspace
 from ..sources import files
-from .base import SQL, config, corpus, first_query, muted, vectors
+from .base import SQL, config, first_query, muted, vectors
 from .registry import Registry, Tables
 
 QUERIES = Registry()
@@ -25,20 +25,17 @@ _WITH = "with " + SQL
 # -- vector functions ------------------------------------------------------------------------------------------
 @QUERIES.query("vf01_cosine_distance", _WITH + " select post_id, chunk_number, round(list_cosine_distance(e, (select e from q)), 6) as d from pv")
 def vf01(t: Tables) -> DataFrame:
-    c = corpus(t)
-    return c.vectors.select("post_id", "chunk_number", F.round(vf.cosine_distance_to("embedding", first_query(c)[1]), 6).alias("d"))
+    return vectors(t).select("post_id", "chunk_number", F.round(vf.cosine_distance_to("embedding", first_query(t)[1]), 6).alias("d"))
 
 
 @QUERIES.query("vf02_negative_inner_product", _WITH + " select post_id, chunk_number, round(-list_inner_product(e, (select e from q)), 5) as d from pv")
 def vf02(t: Tables) -> DataFrame:
-    c = corpus(t)
-    return c.vectors.select("post_id", "chunk_number", F.round(vf.negative_inner_product(F.col("embedding"), vf.literal(first_query(c)[1])), 5).alias("d"))
+    return vectors(t).select("post_id", "chunk_number", F.round(vf.negative_inner_product(F.col("embedding"), vf.literal(first_query(t)[1])), 5).alias("d"))
 
 
 @QUERIES.query("vf03_slice_distance", _WITH + " select post_id, chunk_number, round(list_cosine_distance(e[1:16], (select e[1:16] from q)), 6) as d from pv")
 def vf03(t: Tables) -> DataFrame:
-    c = corpus(t)
-    return c.vectors.select("post_id", "chunk_number", F.round(vf.cosine_distance_to(vf.subvector("embedding", 1, 16), first_query(c)[1][:16]), 6).alias("d"))
+    return vectors(t).select("post_id", "chunk_number", F.round(vf.cosine_distance_to(vf.subvector("embedding", 1, 16), first_query(t)[1][:16]), 6).alias("d"))
 
 
 @QUERIES.query(
@@ -131,8 +128,7 @@ def ag11(t: Tables) -> DataFrame:
 def wn04(t: Tables) -> DataFrame:
     from ..operators.search import best_chunks, rounded_distance
 
-    c = corpus(t)
-    return best_chunks(c.vectors.select("post_id", "chunk_number", rounded_distance("embedding", first_query(c)[1]).alias("similarity")))
+    return best_chunks(vectors(t).select("post_id", "chunk_number", rounded_distance("embedding", first_query(t)[1]).alias("similarity")))
 
 
 @QUERIES.query("wn05_name_resolution", "select author_id, permlink_id, arg_max(id, (counter_deleted = 0)::int::bigint * 10000000000 + id) as post_id from hive_posts group by 1, 2")

@@ -13,7 +13,7 @@ from ..functions.text import post_url
 from ..operators.reduce import explained, fit_pca, sequence_ranges
 from ..operators.search import Corpus, batch_knn
 from ..session import settle
-from .base import SQL, config, corpus, first_query, vectors
+from .base import SQL, config, first_query, vectors
 from .registry import Registry, Tables
 
 QUERIES = Registry()
@@ -86,9 +86,8 @@ def ev06(t: Tables) -> DataFrame:
 @QUERIES.query("udf_sql_functions", "with " + SQL + " select post_id, chunk_number, round(list_cosine_distance(e, (select e from q)), 6) as d, round(-list_inner_product(e[1:16], e[1:16]), 5) as p from pv")
 def udf_sql(t: Tables) -> DataFrame:
     register(t.spark)
-    c = corpus(t)
-    c.vectors.createOrReplaceTempView("vecloom_pv")
-    q = ", ".join(f"{x!r}D" for x in first_query(c)[1])
+    vectors(t).createOrReplaceTempView("vecloom_pv")
+    q = ", ".join(f"{x!r}D" for x in first_query(t)[1])
     return t.spark.sql(f"select post_id, chunk_number, round(cosine_distance(cast(embedding as array<double>), array({q})), 6) d, round(negative_inner_product(subvector(cast(embedding as array<double>), 1, 16), subvector(cast(embedding as array<double>), 1, 16)), 5) p from vecloom_pv")
 
 

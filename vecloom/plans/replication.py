@@ -203,7 +203,7 @@ def cf01(t: Tables) -> DataFrame:
 
 @QUERIES.query(
     "ag13_vectors_per_op",
-    f"with {SQL} select sync_seq, post_id, list(round(e[1], 5) order by chunk_number) as firsts from pv group by 1, 2",
+    f"with {SQL} select sync_seq, post_id, list(round(e[1], 5) + 0.0 order by chunk_number) as firsts from pv group by 1, 2",
 )
 def ag13(t: Tables) -> DataFrame:
     packed = vectors(t).groupBy("sync_seq", "post_id").agg(F.sort_array(F.collect_list(F.struct("chunk_number", F.round(F.element_at("embedding", 1).cast("double"), 5).alias("x")))).alias("l"))

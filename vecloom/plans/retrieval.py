@@ -13,22 +13,24 @@ from ..operators.recall import recall_table, sample_queries
 from ..operators.reduce import fit_pca, matrix_rows, project_all
 from ..operators.search import Corpus, batch_knn, first_vector, nearest_posts, nearest_to_post, nearest_to_text, page_of_posts
 from ..session import settle, workspace
-from .base import COMPONENTS, SLICE, SQL, config, corpus, first_query, vectors
+from ..functions.vectors import usable
+from .base import COMPONENTS, DIMS, SLICE, SQL, config, corpus, first_query, first_vectors, vectors
 from .registry import Registry, Tables
 
 QUERIES = Registry()
 
 
-def _matrix(t: Tables, c: Corpus) -> np.ndarray:
+def _matrix(t: Tables) -> np.ndarray:
     """The first vectors serve as the rows of a fixed projection."""
-    return np.array([r.embedding for r in c.vectors.orderBy("post_id", "chunk_number").select("embedding").limit(COMPONENTS).collect()])
+    return np.array(first_vectors(t, COMPONENTS))
 
 
 def _reduced(t: Tables) -> Corpus:
+    """With the projection of every usable vector, worked out while the table is read."""
     c = corpus(t)
-    c.vectors = settle(c.vectors, "vectors")
-    c.matrix = _matrix(t, c)
-    c.reduced = project_all(c.vectors, c.matrix).select("post_id", "chunk_number", "reduced_embedding")
+    c.matrix = _matrix(t)
+    good = t.posts_vectors.filter(usable(F.col("embedding").cast("array<double>"), DIMS))
+    c.reduced = project_all(good, c.matrix).select("post_id", "chunk_number", "reduced_embedding", "sync_seq")
     return c
 
 
@@ -61,20 +63,20 @@ cand as (select post_id, chunk_number, author_id, round(list_cosine_distance(e,
 @QUERIES.query("rt01_full_mode", _sql(_FULL.format(n=1000), 20, "pd.number_of_tokens >= 100", "pv.post_id <> (select post_id from q)", 2))
 def rt01(t: Tables) -> DataFrame:
     c = corpus(t)
-    post, vec = first_query(c)
+    post, vec = first_query(t)
     return nearest_posts(c, vec, config(min_token_search_threshold=100), 20, post, 2)
 
 
 @QUERIES.query("rt02_pca_mode", _sql(_PCA.format(n=100), 20, observer=1))
 def rt02(t: Tables) -> DataFrame:
     c = _reduced(t)
-    return nearest_posts(c, first_query(c)[1], config(reduction_mode="pca", reduced_dims=COMPONENTS, minimum_candidates=100), 20, None, 1)
+    return nearest_posts(c, first_query(t)[1], config(reduction_mode="pca", reduced_dims=COMPONENTS, minimum_candidates=100), 20, None, 1)
 
 
 @QUERIES.query("rt03_slice_mode", _sql(_SLICE.format(n=100), 20, observer=1))
 def rt03(t: Tables) -> DataFrame:
     c = corpus(t)
-    return nearest_posts(c, first_query(c)[1], config(reduction_mode="slice", reduced_dims=SLICE, minimum_candidates=100), 20, None, 1)
+    return nearest_posts(c, first_query(t)[1], config(reduction_mode="slice", reduced_dims=SLICE, minimum_candidates=100), 20, None, 1)
 
 
 _EXHAUSTIVE = """
@@ -87,7 +89,7 @@ cand as (
 @QUERIES.query("rt04_exhaustive_mode", _EXHAUSTIVE.format(base=SQL) + _FINISH.format(limit=20))
 def rt04(t: Tables) -> DataFrame:
     c = corpus(t)
-    post, vec = first_query(c)
+    post, vec = first_query(t)
     return nearest_posts(c, vec, config(allow_debugging=True), 20, post, 3, Debug(exhaustive=True))
 
 
@@ -103,7 +105,7 @@ select row_number() over (order by rn)::int as similarity_order, similarity, pos
 @QUERIES.query("rt05_next_page", _PAGED.format(base=SQL))
 def rt05(t: Tables) -> DataFrame:
     c = corpus(t)
-    vec = first_query(c)[1]
+    vec = first_query(t)[1]
     start = page_of_posts(c, vec, config(), 5, None, 1).orderBy(F.desc("similarity_order")).first()
     return page_of_posts(c, vec, config(), 10, None, 1, start.post_id)
 
@@ -121,14 +123,14 @@ def rt06(t: Tables) -> DataFrame:
 @QUERIES.query("rt07_similar_to_post", _sql(_FULL.format(n=1000), 20, exclude="pv.post_id <> (select post_id from q)", observer=2))
 def rt07(t: Tables) -> DataFrame:
     c = corpus(t)
-    post = first_query(c)[0]
+    post = first_query(t)[0]
     return nearest_posts(c, first_vector(c, post), config(), 20, post, 2)
 
 
 @QUERIES.query("rt07_similar_by_name")
 def rt07_name(t: Tables) -> DataFrame:
     c = corpus(t)
-    live = c.vectors.join(t.hive_posts.filter("counter_deleted = 0").select(F.col("id").alias("post_id"), "author_id", "permlink_id"), "post_id").orderBy("post_id").limit(1)
+    live = vectors(t).join(t.hive_posts.filter("counter_deleted = 0").select(F.col("id").alias("post_id"), "author_id", "permlink_id"), "post_id").orderBy("post_id").limit(1)
     who = live.join(t.hive_accounts.select(F.col("id").alias("author_id"), "name"), "author_id").join(t.hive_permlink_data.select(F.col("id").alias("permlink_id"), "permlink"), "permlink_id").first()
     return nearest_to_post(c, who.name, who.permlink, config(), 20)
 
@@ -146,19 +148,19 @@ def _authors_sql(cand: str, observer: int) -> str:
 @QUERIES.query("rt08_authors_full", _authors_sql(_FULL.format(n=1000), 2))
 def rt08(t: Tables) -> DataFrame:
     c = corpus(t)
-    return thematic_authors(c, first_query(c)[1], config(), 10, 2)
+    return thematic_authors(c, first_query(t)[1], config(), 10, 2)
 
 
 @QUERIES.query("rt08_authors_slice", _authors_sql(_SLICE.format(n=200), 0))
 def rt08_slice(t: Tables) -> DataFrame:
     c = corpus(t)
-    return thematic_authors(c, first_query(c)[1], config(reduction_mode="slice", reduced_dims=SLICE, minimum_candidates=200), 10)
+    return thematic_authors(c, first_query(t)[1], config(reduction_mode="slice", reduced_dims=SLICE, minimum_candidates=200), 10)
 
 
 @QUERIES.query("rt08_authors_pca", _authors_sql(_PCA.format(n=200), 1))
 def rt08_pca(t: Tables) -> DataFrame:
     c = _reduced(t)
-    return thematic_authors(c, first_query(c)[1], config(reduction_mode="pca", reduced_dims=COMPONENTS, minimum_candidates=200), 10, 1)
+    return thematic_authors(c, first_query(t)[1], config(reduction_mode="pca", reduced_dims=COMPONENTS, minimum_candidates=200), 10, 1)
 
 
 @QUERIES.query(
@@ -169,7 +171,7 @@ cand as (select top.* from top where exists (select 1 from pd where pd.post_id =
 )
 def rt08_exhaustive(t: Tables) -> DataFrame:
     c = corpus(t)
-    return thematic_authors(c, first_query(c)[1], config(allow_debugging=True, minimum_candidates=1), 10, 2, Debug(candidates=300, exhaustive=True))
+    return thematic_authors(c, first_query(t)[1], config(allow_debugging=True, minimum_candidates=1), 10, 2, Debug(candidates=300, exhaustive=True))
 
 
 _KNN = """
@@ -226,8 +228,7 @@ p as (select post_id, chunk_number, list_transform(m, lambda r: list_inner_produ
 select post_id, chunk_number, len(y)::int as components, round(y[1] / sqrt(list_inner_product(y, y)), 4) as first, round(y[{COMPONENTS}] / sqrt(list_inner_product(y, y)), 4) as last from p""",
 )
 def ev02(t: Tables) -> DataFrame:
-    c = corpus(t)
-    y = project_all(c.vectors, _matrix(t, c), normalise=True)
+    y = project_all(vectors(t), _matrix(t), normalise=True)
     at = lambda i: F.round(F.element_at("reduced_embedding", i).cast("double"), 4)
     return y.select("post_id", "chunk_number", F.size("reduced_embedding").alias("components"), at(1).alias("first"), at(-1).alias("last"))
 
@@ -238,9 +239,9 @@ PROBES = 10  # of 16 cells; recall@20 against brute force is in the README
 @QUERIES.query("rt11_index_probe")
 def rt11(t: Tables) -> DataFrame:
     c = corpus(t)
-    post, vec = first_query(c)
-    index, _ = InvertedFile.build(c.vectors, workspace(t.spark, "ivf"), 16)
-    c.vectors = index.probe(vec, PROBES).drop("cell")
+    post, vec = first_query(t)
+    index, _ = InvertedFile.build(vectors(t), workspace(t.spark, "ivf"), 16)
+    c.vectors, c.versions = index.probe(vec, PROBES).drop("cell"), False
     return nearest_posts(c, vec, config(), 20, post)
 
 

@@ -43,12 +43,14 @@ def test_equal_and_empty_sides(spark):
 def test_only_mismatched_ranges_are_compared(spark):
     from vecloom.functions.names import row_hash
 
-    side = lambda rows: leaf_sums(spark.createDataFrame(rows, SIDE).withColumns({"_key": row_hash("k"), "_row": row_hash("k", "a", "b")}), 12)
+    side = lambda rows: spark.createDataFrame(rows, SIDE).withColumns({"_key": row_hash("k"), "_row": row_hash("k", "a", "b")})
     old = [(i, i, "x") for i in range(200)]
     new = [*old[:-1], (199, 0, "x")]
-    for fan in (5, 12):
-        assert mismatched(side(old), side(new), 12, fan).count() == 1
-    assert mismatched(side(old), side(old[:0]), 12).count() == side(old).count()
+    sums = leaf_sums(side(old), side(new), 12)
+    for fan in (3, 5, 12):
+        assert mismatched(sums, 12, fan).count() == 1
+    alone = leaf_sums(side(old), side(old[:0]), 12)
+    assert mismatched(alone, 12).count() == alone.count() and mismatched(leaf_sums(side(old), side(old), 12), 12).count() == 0
 
 
 def test_fields_are_fetched_for_differing_rows_only(spark):

@@ -30,25 +30,27 @@ def node(bits: int) -> Column:
     return F.shiftrightunsigned(F.col("_key"), 64 - bits)
 
 
-def leaf_sums(side: DataFrame, bits: int) -> DataFrame:
-    """(leaf, n, lo, hi): the checksum of each leaf that has rows."""
-    return side.groupBy(node(bits).alias("leaf")).agg(*additive(F.col("_row")))
-
-
-def mismatched(old: DataFrame, new: DataFrame, bits: int, fan: int = FAN) -> DataFrame:
-    """(leaf): leaves whose checksums differ, from the leaf sums of both sides, found by dividing mismatched ranges level by level."""
+def leaf_sums(old: DataFrame, new: DataFrame, bits: int) -> DataFrame:
+    """(leaf, old, new): the checksums of both sides of each leaf that has rows, null for a side without any there."""
+    sums = []
+    for side, other, df in (("old", "new", old), ("new", "old", new)):
+        one = df.groupBy(node(bits).alias("leaf")).agg(*additive(F.col("_row"))).select("leaf", F.struct("n", "lo", "hi").alias(side))
+        sums.append(one.withColumn(other, F.lit(None).cast(one.schema[side].dataType)))
+    both = sums[0].unionByName(sums[1])
+    return both.groupBy("leaf").agg(*[F.max(side).alias(side) for side in ("old", "new")])  # a leaf is in each side once
+
+
+def mismatched(sums: DataFrame, bits: int, fan: int = FAN) -> DataFrame:
+    """(leaf): leaves whose checksums differ, found by dividing mismatched ranges level by level."""
     found, above = None, 0
     for at in [*range(fan, bits, fan), bits]:
-        sums = []
-        for side in (old, new):
-            rows = side.withColumn("node", F.shiftrightunsigned("leaf", bits - at))
-            if found is not None:
-                rows = rows.withColumn("parent", F.shiftrightunsigned("node", at - above)).join(found.withColumnRenamed("node", "parent"), "parent", "left_semi")
-            sums.append(rows.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n", "lo", "hi")]))
-        a, b = sums[0].alias("a"), sums[1].alias("b")
-        same = F.col("a.n").eqNullSafe(F.col("b.n")) & F.col("a.lo").eqNullSafe(F.col("b.lo")) & F.col("a.hi").eqNullSafe(F.col("b.hi"))
-        found = settle(a.join(b, F.col("a.node") == F.col("b.node"), "full").filter(~same).select(F.coalesce("a.node", "b.node").alias("node")), "diff-ranges")
-        above = at  # settled: both sides of the next level read it, and the plan must not double with every level
+        rows = sums.withColumn("node", F.shiftrightunsigned("leaf", bits - at))
+        if found is not None:
+            rows = rows.withColumn("parent", F.shiftrightunsigned("node", at - above)).join(found.withColumnRenamed("node", "parent"), "parent", "left_semi")
+        total = rows.groupBy("node").agg(*[F.sum(f"{side}.{c}").alias(f"{side}_{c}") for side in ("old", "new") for c in ("n", "lo", "hi")])
+        differ = [~F.col(f"old_{c}").eqNullSafe(F.col(f"new_{c}")) for c in ("n", "lo", "hi")]
+        found = total.filter(differ[0] | differ[1] | differ[2]).select("node")
+        above = at
     return found.withColumnRenamed("node", "leaf")
 
 
@@ -69,9 +71,9 @@ def differences(old: DataFrame, new: DataFrame, keys: Sequence[str], fields: Fie
         sides.append(settle(side.withColumn("_row", row_hash("_key", *canon)), f"diff-{name}"))
     size = max(s.count() for s in sides)
     bits = min(48, max(1, math.ceil(math.log2(max(1, size / per_leaf)))))
-    sums = [settle(leaf_sums(s, bits), "diff-sums") for s in sides]  # about size / per_leaf rows
-    leaf = mismatched(*sums, bits)
-    if 2 * leaf.count() <= max(s.count() for s in sums):  # where most leaves differ, going through them saves nothing
+    sums = settle(leaf_sums(*sides, bits), "diff-sums")  # about size / per_leaf rows
+    leaf = settle(mismatched(sums, bits), "diff-leaves")
+    if 2 * leaf.count() <= sums.count():  # where most leaves differ, going through them saves nothing
         sides = [s.withColumn("leaf", node(bits)).join(leaf, "leaf", "left_semi").drop("leaf") for s in sides]
     a, b = (s.withColumn("_in", F.lit(True)).alias(n) for s, n in zip(sides, "ab"))
     both = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("_key", *keys)], "full").filter(~F.col("a._row").eqNullSafe(F.col("b._row")))

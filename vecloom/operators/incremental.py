@@ -10,6 +10,7 @@ nothing is repeated.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Mapping
 
@@ -52,8 +53,17 @@ class PartitionedRefresh:
             out = prints if out is None else out.unionByName(prints)
         return out
 
-    def _states(self) -> list[str]:
-        return [n for n in self.files.names("state") if self.files.exists(f"state/{n}/_SUCCESS")]
+    def _state(self) -> dict:
+        """What the last successful refresh left: its number of partitions and their fingerprints."""
+        names = [n for n in self.files.names("state") if n.endswith(".json")]
+        return json.loads(self.files.read(f"state/{names[-1]}")) if names else {}
+
+    def _keep(self, prints: Mapping[tuple[str, int], tuple[int, int, int]]) -> None:
+        names = [n for n in self.files.names("state") if n.endswith(".json")]
+        version = int(names[-1][:-5]) + 1 if names else 0
+        self.files.write(f"state/{version:09d}.json", json.dumps({"buckets": self.buckets, "prints": [[*k, *v] for k, v in prints.items()]}))
+        for old in names[:-1]:
+            self.files.delete(f"state/{old}")
 
     def _layout(self) -> str:
         """Folder of the table under its present number of partitions; a rebuild begins a new one."""
@@ -70,16 +80,15 @@ class PartitionedRefresh:
 
         transform gets the sources' rows of the changed partitions, each with a column ``part`` that it must keep.
         """
-        states = self._states()
-        last = self.spark.read.parquet(f"{self.path}/state/{states[-1]}").collect() if states else []  # bounded by buckets
-        self.buckets = self._given or (last[0].buckets if last else self._fitting(sum(df.count() for df in sources.values())))
+        last = self._state()
+        self.buckets = self._given or last.get("buckets", self.LEAST)
         now = self._prints(sources, key)
         rows = sum(n for n, _, _ in now.values())
-        if not self._given and rows > self.GROWN * self.ROWS * self.buckets and self.buckets < self.MOST:
+        if not self._given and rows > (self.GROWN if last else 1) * self.ROWS * self.buckets and self.buckets < self.MOST:
             self.buckets = self._fitting(rows)
             now = self._prints(sources, key)
         data = self._layout()
-        before = {(r.source, r.part): (r.n, r.lo, r.hi) for r in last if r.buckets == self.buckets}
+        before = {(s, p): tuple(v) for s, p, *v in last.get("prints", [])} if last.get("buckets") == self.buckets else {}
         self.changed = sorted({k[1] for k in now.keys() | before.keys() if now.get(k) != before.get(k)})
         if self.changed:
             some = {}
@@ -92,11 +101,7 @@ class PartitionedRefresh:
             for p, files in held.items():
                 if files and self.files.names(f"{data}/{PART}={p}") == files:  # no row was written, so nothing was replaced
                     self.files.delete(f"{data}/{PART}={p}")
-            rows = [(self.buckets, s, p, *v) for (s, p), v in now.items()]
-            version = f"v{int(states[-1][1:]) + 1 if states else 0:09d}"
-            self.spark.createDataFrame(rows, "buckets int, source string, part int, n long, lo long, hi long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/state/{version}")
-            for old in states[:-1]:
-                self.files.delete(f"state/{old}")
+            self._keep(now)
             for old in self.files.names():
                 if old.startswith("data-") and old != data:
                     self.files.delete(old)

@@ -51,17 +51,21 @@ def first_keys(t: Tables, n: int) -> list[tuple[int, int]]:
     return [tuple(r) for r in rows.orderBy("post_id", "chunk_number").limit(n).collect()]
 
 
-def first_vectors(t: Tables, n: int) -> list[list[float]]:
-    """Those vectors, in order."""
-    keys = first_keys(t, n)
+def vectors_of(t: Tables, keys: list[tuple[int, int]]) -> list[list[float]]:
+    """Current vectors of a few posts, in order."""
     some = current(t.posts_vectors.filter(F.col("post_id").isin(sorted({p for p, _ in keys}))), ["post_id"])
     found = {(r.post_id, r.chunk_number): list(r.embedding) for r in some.filter(usable(F.col("embedding").cast("array<double>"), DIMS)).select("post_id", "chunk_number", "embedding").collect()}
     return [found[k] for k in keys]
 
 
+def first_vectors(t: Tables, n: int) -> list[list[float]]:
+    return vectors_of(t, first_keys(t, n))
+
+
 def first_query(t: Tables) -> tuple[int, list[float]]:
     """The lowest post and the vector of its lowest chunk: the reference vector of the searches."""
-    return first_keys(t, 1)[0][0], first_vectors(t, 1)[0]
+    keys = first_keys(t, 1)
+    return keys[0][0], vectors_of(t, keys)[0]
 
 
 def config(**changes) -> Config:

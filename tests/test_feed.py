@@ -92,6 +92,51 @@ def test_missing_posts_and_admission(spark, path):
     assert feed.upstream_gap(feed.FeedState(upstream_skipped=3), 5) == 2 and feed.upstream_gap(feed.FeedState(upstream_skipped=3), 1) == 0
 
 
+def test_a_restarted_replica_counts_on_and_nothing_twice(spark, path):
+    names = spark.createDataFrame([(1, "ann", "p1")], "post_id int, author string, permlink string")
+    pages = [[(1, "insert", "bob", "x", 9, 10, [[1.0]]), (2, "insert", "ann", "p1", 9, 11, [[1.0]])], [(3, "insert", "bob", "y", 9, 12, [[1.0]]), (4, "update", "ann", "p1", 9, 13, [[2.0]])]]
+    replica = lambda: Replica(store.Store(spark, path + "/s"), lambda: names)
+    for i, page in enumerate([*pages, pages[0], pages[1]]):  # the last two are delivered again
+        replica().batch(spark.createDataFrame(page, OPS), i)
+    r = replica()
+    assert (r.state.last_seq, r.state.skipped_ops, r.state.inserts, r.store.status().skipped_op_count) == (4, 2, 2, 2)
+    assert [(x.sync_seq, list(x.embedding)) for x in r.store.tables().vectors.collect()] == [(4, [2.0])]
+
+
+def test_a_write_costs_its_own_size_and_runs_are_merged(spark, path):
+    """Against the same changes applied to whole tables; the large first run is rewritten only when the others have grown."""
+    s, rnd = store.Store(spark, path, max_runs=3), np.random.default_rng(5)
+    ids = lambda xs: spark.createDataFrame([(int(x),) for x in xs], "post_id int")
+    want, seq = {}, 0
+    for step in range(9):
+        touched = range(400) if step == 0 else sorted(set(rnd.integers(0, 420, 6).tolist()))
+        rows, marks = [], []
+        for p in touched:
+            seq += 1
+            want[p] = []
+            if step and rnd.random() < 0.3:
+                marks.append((p, seq))
+            else:
+                want[p] = [(p, c, [float(x) for x in rnd.integers(0, 9, 16)], seq) for c in range(3)]
+                rows += want[p]
+        data = spark.createDataFrame([(p, step, seq) for p in touched], "post_id int, number_of_tokens int, last_vectors_block int")
+        before = s.files.size("vectors")
+        s.append(store.Change(ids(touched), data, spark.createDataFrame(rows, "post_id int, chunk_number int, embedding array<float>, sync_seq int"), spark.createDataFrame(marks, "post_id int, sync_seq int")))
+        runs = s.status().runs
+        assert len(runs) <= 3 and s.status().max_visible_sync_seq == seq
+        if 0 < step <= 2:
+            assert s.files.size("vectors") - before < runs[0][1] / 4
+        t = s.tables()
+        assert sorted(tuple(r) for r in t.vectors.collect()) == sorted(r for rs in want.values() for r in rs)
+        assert {r.post_id for r in t.post_data.collect()} == set(want) and t.post_data.count() == len(want)
+    assert runs[0][0] == 1
+    s.max_runs = 0
+    while len(s.status().runs) > 1:
+        s.max_runs = 1
+        s.tidy()
+    assert s.tables().vectors.count() == sum(map(len, want.values()))
+
+
 def test_tasks_and_sequences_are_dense(spark):
     rows = spark.createDataFrame([(i, i // 7) for i in range(250)], "post_id int, block int")
     got = {r.task: r for r in store.tasks(rows, 100).collect()}

@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..config import Config
+from .store import Change, Tables, applied
 
 
 def page_ops(vectors: DataFrame, markers: DataFrame, after_seq: int, page_size: int, max_visible: int) -> DataFrame:
@@ -146,21 +147,27 @@ def upstream_gap(state: FeedState, advertised: int) -> int:
     return max(0, advertised - state.upstream_skipped)
 
 
-def apply_ops(post_data: DataFrame, vectors: DataFrame, markers: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """New (post_data, vectors, markers) after resolved operations.
+def ops_change(ops: DataFrame) -> Change:
+    """What resolved operations do.
 
-    Only the last operation of a post counts (highest sync_seq), chosen before its vectors are exploded. It
-    replaces the metadata and all vectors; a delete leaves a marker, an insert or update doesn't. Operations without a post are passed over.
+    Only the last operation of a post counts (highest sync_seq, a put before a delete), found without its vectors. It
+    replaces the metadata and all vectors; a delete leaves a marker, an insert or update doesn't. Operations without a post
+    are passed over, repeated ones count once.
     """
-    last = ops.filter(F.col("post_id").isNotNull())
-    names = [c for c in last.columns if c not in ("post_id", "sync_seq")]
-    last = last.groupBy("post_id").agg(F.max_by(F.struct("sync_seq", *names), F.struct("sync_seq", F.col("op") != "delete")).alias("o")).select("post_id", "o.*")
-    touched = last.select("post_id")
-    data = post_data.join(touched, "post_id", "left_anti").unionByName(last.select("post_id", "number_of_tokens", "last_vectors_block"))
-    put = last.filter(F.col("op") != "delete").select("post_id", F.posexplode("embeddings").alias("chunk_number", "embedding"), "sync_seq")
-    kept = vectors.join(touched, "post_id", "left_anti").select("post_id", "chunk_number", "embedding", "sync_seq").unionByName(put.select("post_id", "chunk_number", "embedding", "sync_seq"))
-    marks = markers.select("post_id", "sync_seq").unionByName(last.filter(F.col("op") == "delete").select("post_id", "sync_seq")).distinct()
-    return data, kept, marks
+    mine = ops.filter(F.col("post_id").isNotNull()).withColumns({"_put": F.col("op") != "delete", "_h": F.xxhash64("embeddings")})
+    by = ["sync_seq", "_put", "_h"]
+    last = mine.groupBy("post_id").agg(F.max(F.struct(*by, "number_of_tokens", "last_vectors_block")).alias("o")).select("post_id", "o.*")
+    whole = mine.filter("_put").select("post_id", *by, "embeddings").join(last.filter("_put").select("post_id", *by), ["post_id", *by])
+    put = whole.groupBy("post_id", *by).agg(F.first("embeddings").alias("embeddings")).select("post_id", F.posexplode("embeddings").alias("chunk_number", "embedding"), "sync_seq")
+    return Change(
+        last.select("post_id"), last.select("post_id", "number_of_tokens", "last_vectors_block"), put.select("post_id", "chunk_number", "embedding", "sync_seq"), last.filter("not _put").select("post_id", "sync_seq"),
+    )
+
+
+def apply_ops(post_data: DataFrame, vectors: DataFrame, markers: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """New (post_data, vectors, markers) after ``ops_change``."""
+    t = applied(Tables(post_data, vectors, markers), ops_change(ops))
+    return t.post_data, t.vectors, t.markers
 
 
 def advance(state: FeedState, resolved: DataFrame, advertised_skips: int | None = None) -> FeedState:

@@ -14,10 +14,12 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..config import Config
 from ..functions.vectors import cosine_distance, from_text
+from ..session import SharedFiles
 from .search import root_post
 from .store import Store, Tables
 
-PHASES = ("staging", "resolved", "diffed", "tables_built", "indexes_built", "swapped")
+# The phases of a rebase, in order.
+PHASES = ("staging", "resolved", "diffed", "tables_built", "indexes_built", "swapped", "cleaned")
 
 
 @dataclass(frozen=True)
@@ -112,7 +114,7 @@ def resolve_metrics(dump: Dump, old: Old, posts: DataFrame, accounts: DataFrame,
     )
     missing = here.join(dump.root_posts.select(*by).distinct(), by, "left_anti").agg(F.count(F.lit(1)).alias("n"))
     listed = dump.root_posts.agg(F.count(F.lit(1)).alias("c"))
-    parts = [
+    parts = [  # fixed values: names of the counts
         one("old_vector_rows", dump.vectors),
         one("old_vector_rows_resolved", old.vectors),
         dump.vectors.agg(F.countDistinct("author", "permlink").alias("n")).select(F.lit("old_posts_with_vectors").alias("metric"), "n"),
@@ -239,8 +241,14 @@ def swap(store: Store, tables: Tables, state: RebaseState) -> RebaseState:
 
 
 def verify(ops: DataFrame, seqs: DataFrame, old: Old, tables: Tables, state: RebaseState, sync_uuid: str, max_visible: int, first_chain: str | None = None, beyond: int = 0, found: int | None = None) -> list[tuple[str, bool, str]]:
-    """(check, ok, detail). ops: (sync_seq, post_id, op) served behind the old tail; beyond: operations served after the
-    last; found: rows a search on the merged table returns."""
+    """(check, ok, detail).
+
+    identity: the node has the old uuid; visible, head: it shows the sequence up to old tail and merge operations, and stands there;
+    count, dense, kinds: what it serves behind the old tail are the merge operations, numbered without a gap, each of the
+    kind its reason asks for; end: nothing comes after them; posts: as many posts with vectors as follow from the old ones; chain: the
+    old uuid leads the list; search: the merged table can be searched. ops: (sync_seq, post_id, op) served behind the
+    old tail; beyond: operations served after the last; found: rows a search returns.
+    """
     expected = state.old_tail_seq + state.merge_count
     m = ops.agg(F.count(F.lit(1)).alias("n"), F.min("sync_seq").alias("a"), F.max("sync_seq").alias("z"), F.countDistinct("sync_seq").alias("d")).collect()[0]
     kind = F.create_map(F.lit("gone"), F.lit("delete"), F.lit("new"), F.lit("insert"), F.lit("rechunked"), F.lit("update"))
@@ -249,15 +257,24 @@ def verify(ops: DataFrame, seqs: DataFrame, old: Old, tables: Tables, state: Reb
     want = was.subtract(seqs.filter("reason = 'gone'").select("post_id")).union(seqs.filter("reason = 'new'").select("post_id")).distinct().count()
     have = tables.vectors.select("post_id").distinct().count()
     n = state.merge_count
+    dense = n == 0 or (m.a == state.old_tail_seq + 1 and m.z == expected and m.d == n)
     return [
-        ("sync_uuid is the old one", sync_uuid == state.old_uuid, str(sync_uuid)),
-        ("max visible is old tail plus merge operations", max_visible == expected, str(max_visible)),
-        ("sequence at or past max visible", max_visible >= expected, str(max_visible)),
-        ("operations after the old tail are the merge operations", m.n == n, str(m.n)),
-        ("merge numbers are consecutive", n == 0 or (m.a == state.old_tail_seq + 1 and m.z == expected and m.d == n), f"{m.a}..{m.z}"),
-        ("every merge operation matches its post and reason", fit == n, str(fit)),
-        ("nothing beyond max visible", beyond == 0, str(beyond)),
-        ("posts with vectors as expected", want == have, f"{have} (expected {want})"),
-        ("the chain list starts with the old uuid", first_chain in (None, state.old_uuid), str(first_chain)),
-        ("a search on the merged table works", found is None or found >= 1, str(found)),
+        ("identity", sync_uuid == state.old_uuid, str(sync_uuid)),
+        ("visible", max_visible == expected, f"{max_visible} of {expected}"),
+        ("head", max_visible >= expected, str(max_visible)),
+        ("count", m.n == n, f"{m.n} of {n}"),
+        ("dense", dense, f"{m.a} to {m.z}"),
+        ("kinds", fit == n, f"{fit} of {n}"),
+        ("end", beyond == 0, str(beyond)),
+        ("posts", want == have, f"{have} of {want}"),
+        ("chain", first_chain in (None, state.old_uuid), str(first_chain)),
+        ("search", found is None or found >= 1, str(found)),
     ]
+
+
+def cleanup(store: Store, state: RebaseState, staging: Sequence[str]) -> RebaseState:
+    """Removes what the rebase staged (paths of folders) once the swapped tables have proven themselves."""
+    state.expect("swapped")
+    for path in staging:
+        SharedFiles(store.spark, path).delete("")
+    return state.to("cleaned")

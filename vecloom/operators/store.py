@@ -1,12 +1,15 @@
 """Ingestion: from block ranges over chunks and vectors to a versioned store.
 
-A batch is a pure function of the old tables and the new chunks. Plain Parquet has no MERGE, so a new
-snapshot is written beside the old one and a pointer file is replaced last; readers see whole versions only.
+A batch is a pure function of the old tables and the new chunks: a change, that is the posts it touches and their new rows.
+Plain Parquet has no MERGE, so a change is written as a run beside the older ones, in proportion to its own size, and reading passes over
+rows of posts that a later run touches. Runs of similar size are merged from time to time. A pointer file that names the live runs is
+replaced last; readers see whole versions only.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass, replace
 from typing import Any
 
@@ -46,6 +49,9 @@ def tasks(ranged: DataFrame, size: int = 100) -> DataFrame:
     return placed.groupBy("task").agg(F.min("block").alias("first_block"), F.max("block").alias("last_block"), ids.alias("post_ids"))
 
 
+SCHEMAS = {"post_data": POST_DATA, "vectors": POSTS_VECTORS, "markers": DELETED, "touched": "post_id int"}
+
+
 @dataclass
 class Prepared:
     """pre: (post_id, block_num, token_count) of all posts; chunks: (post_id, chunk_number, chunk_text, token_count, block_num) of those that pass."""
@@ -72,6 +78,26 @@ class Tables:
     markers: DataFrame
 
 
+@dataclass
+class Change:
+    """What a batch does: touched posts (post_id) lose their metadata and vectors and get these; markers are added."""
+
+    touched: DataFrame
+    post_data: DataFrame
+    vectors: DataFrame
+    markers: DataFrame
+
+
+def applied(now: Tables, change: Change) -> Tables:
+    """The tables after a change."""
+    without = lambda df: df.join(change.touched, "post_id", "left_anti")
+    return Tables(
+        without(now.post_data.select("post_id", "number_of_tokens", "last_vectors_block")).unionByName(change.post_data),
+        without(now.vectors.select("post_id", "chunk_number", "embedding", "sync_seq")).unionByName(change.vectors),
+        now.markers.select("post_id", "sync_seq").unionByName(change.markers).distinct(),
+    )
+
+
 def assign_seqs(pre: DataFrame, with_chunks: DataFrame, start: int) -> DataFrame:
     """(post_id, block_num, token_count, had, sync_seq): one number a post after ``start``, dense and deterministic: empties first, then the others, by post."""
     had = with_chunks.select("post_id").distinct().withColumn("had", F.lit(True))
@@ -84,22 +110,23 @@ def assign_seqs(pre: DataFrame, with_chunks: DataFrame, start: int) -> DataFrame
     return ranked.join(before, ["had", "_cell"]).select("post_id", "block_num", "token_count", "had", (F.lit(start) + F.col("_before") + F.col("_n")).cast("int").alias("sync_seq"))
 
 
-def store_embeddings(now: Tables, pre: DataFrame, new_vectors: DataFrame, start: int) -> Tables:
-    """New tables after a batch. pre: (post_id, block_num, token_count); new_vectors: (post_id, chunk_number, embedding).
+def embedding_change(now: Tables, pre: DataFrame, new_vectors: DataFrame, start: int) -> Change:
+    """A batch of posts. pre: (post_id, block_num, token_count); new_vectors: (post_id, chunk_number, embedding).
 
     Posts without chunks lose their vectors and get a marker with a number of their own; for the others the rows are
     replaced, and a marker under the same number says that there were rows before. A repeated batch replaces its own result.
     """
     numbered = assign_seqs(pre, new_vectors, start)
-    before = now.vectors.select("post_id").distinct()
-    data = now.post_data.join(numbered.select("post_id"), "post_id", "left_anti").unionByName(
-        numbered.select("post_id", F.col("token_count").alias("number_of_tokens"), F.col("block_num").alias("last_vectors_block"))
-    )
     rows = new_vectors.join(numbered.select("post_id", "sync_seq"), "post_id").select("post_id", "chunk_number", "embedding", "sync_seq")
-    vectors = now.vectors.join(numbered.select("post_id"), "post_id", "left_anti").select("post_id", "chunk_number", "embedding", "sync_seq").unionByName(rows)
     empty = numbered.filter("not had").select("post_id", "sync_seq")
-    changed = numbered.filter("had").join(before, "post_id", "left_semi").select("post_id", "sync_seq")
-    return Tables(data, vectors, now.markers.select("post_id", "sync_seq").unionByName(empty).unionByName(changed))
+    changed = numbered.filter("had").join(now.vectors.select("post_id"), "post_id", "left_semi").select("post_id", "sync_seq")
+    data = numbered.select("post_id", F.col("token_count").alias("number_of_tokens"), F.col("block_num").alias("last_vectors_block"))
+    return Change(numbered.select("post_id"), data, rows, empty.unionByName(changed))
+
+
+def store_embeddings(now: Tables, pre: DataFrame, new_vectors: DataFrame, start: int) -> Tables:
+    """New tables after ``embedding_change``."""
+    return applied(now, embedding_change(now, pre, new_vectors, start))
 
 
 def batch_stats(pre: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -121,9 +148,16 @@ def visible_seq(vectors: DataFrame, markers: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Status:
-    """The mutable part of a node: where it stands. Written last, so what it names is complete."""
+    """The mutable part of a node: where it stands. Written last, so what it names is complete.
+
+    runs: (number, bytes) of the live runs, oldest first. feed_seq, inserts, deletes: what has been applied of a feed.
+    """
 
     version: int = 0
+    runs: tuple[tuple[int, int], ...] = ()
+    feed_seq: int = 0
+    inserts: int = 0
+    deletes: int = 0
     max_visible_sync_seq: int = 0
     last_block: int = 0
     sync_uuid: str = ""
@@ -134,50 +168,109 @@ class Status:
     runtime_hash: str = ""
 
 
+NAMES = ("post_data", "vectors", "markers", "touched")
+MAX_RUNS = 12
+RATIO = 2  # an older run joins a merge of newer ones up to this multiple of their size
+KEPT = 5  # versions whose runs stay for readers that are still at work
+
+
 class Store:
-    """Snapshots below a shared folder: v<N>/{post_data,vectors,markers}, and status.json that names the live one."""
+    """Runs below a shared folder, {post_data,vectors,markers,touched}/run=<N>, and status files of which the last names the live ones.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    One writer at a time. max_runs: more live runs than that are merged after a write.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, max_runs: int = MAX_RUNS):
+        self.spark, self.path, self.max_runs = spark, path.rstrip("/"), max_runs
         self.files = SharedFiles(spark, self.path)
 
+    def _read_status(self, name: str) -> Status:
+        held = json.loads(self.files.read(f"status/{name}"))
+        return Status(**{**held, "runs": tuple((n, size) for n, size in held["runs"])})
+
     def status(self) -> Status:
         names = [n for n in self.files.names("status") if n.endswith(".json")]
-        return Status(**json.loads(self.files.read(f"status/{names[-1]}"))) if names else Status()
+        return self._read_status(names[-1]) if names else Status()
 
     def _publish(self, status: Status) -> Status:
         names = [n for n in self.files.names("status") if n.endswith(".json")]
         number = int(names[-1][:-5]) + 1 if names else 0
         self.files.write(f"status/{number:09d}.json", json.dumps(asdict(status)))
-        for old in names[:-5]:
+        for old in names[: 1 - KEPT]:
             self.files.delete(f"status/{old}")
+        kept = {n for s in [*names[1 - KEPT :], f"{number:09d}.json"] for n, _ in self._read_status(s).runs}
+        for name in NAMES:
+            for folder in self.files.names(name):
+                if folder.startswith("run=") and int(folder[4:]) not in kept:
+                    self.files.delete(f"{name}/{folder}")
         return status
 
     def update(self, **changes: Any) -> Status:
         return self._publish(replace(self.status(), **changes))
 
+    def _rows(self, name: str, runs: Sequence[int]) -> DataFrame:
+        return self.spark.read.option("basePath", f"{self.path}/{name}").schema(f"{SCHEMAS[name]}, run int").parquet(*[f"{self.path}/{name}/run={n}" for n in runs])
+
+    def _visible(self, runs: Sequence[int]) -> Change:
+        """What the runs come to together: rows of the last run that touches their post, and all that they touch."""
+        later = self._rows("touched", runs)
+        last = later.groupBy("post_id").agg(F.max("run").alias("_last"))
+        live = lambda df: df.join(last, "post_id", "left").filter(F.col("_last").isNull() | (F.col("run") >= F.col("_last"))).drop("run", "_last")
+        one = len(runs) == 1
+        data, vectors = self._rows("post_data", runs), self._rows("vectors", runs)
+        return Change(later.select("post_id").distinct(), data.drop("run") if one else live(data), vectors.drop("run") if one else live(vectors), self._rows("markers", runs).select("post_id", "sync_seq").distinct())
+
     def tables(self) -> Tables:
-        v = self.status().version
-        if not v:
+        runs = [n for n, _ in self.status().runs]
+        if not runs:
             empty = lambda ddl: self.spark.createDataFrame([], ddl)
             return Tables(empty(POST_DATA), empty(POSTS_VECTORS), empty(DELETED))
-        read = lambda n: self.spark.read.parquet(f"{self.path}/v{v:09d}/{n}")
-        return Tables(read("post_data"), read("vectors"), read("markers"))
+        now = self._visible(runs)
+        return Tables(now.post_data, now.vectors, now.markers)
+
+    def _write_run(self, number: int, change: Change) -> tuple[int, int]:
+        """Rows sorted by sync_seq, so that a page of the feed reads few row groups."""
+        sort = {"vectors": ["sync_seq", "post_id", "chunk_number"], "markers": ["sync_seq"]}
+        for name in NAMES:
+            df = getattr(change, name)
+            if name in sort:
+                df = df.repartitionByRange(F.col("sync_seq")).sortWithinPartitions(*sort[name])
+            df.write.mode("overwrite").parquet(f"{self.path}/{name}/run={number}")
+        return number, self.files.size(f"vectors/run={number}")
+
+    def _commit(self, change: Change, older: Sequence[tuple[int, int]], **status: Any) -> Status:
+        now = self.status()
+        number = now.version + 1
+        run = self._write_run(number, change)
+        top = visible_seq(self._rows("vectors", [number]), self._rows("markers", [number])).collect()[0][0]
+        seq = max(top, now.max_visible_sync_seq, status.pop("max_visible_sync_seq", 0))
+        return self._publish(replace(now, version=number, runs=(*older, run), max_visible_sync_seq=seq, **status))
 
     def write(self, tables: Tables, **status: Any) -> Status:
-        """A new snapshot, rows sorted by sync_seq so that a page of the feed reads few row groups; then the pointer."""
-        now = self.status()
-        v = now.version + 1
-        base = f"{self.path}/v{v:09d}"
-        tables.post_data.write.mode("overwrite").parquet(f"{base}/post_data")
-        tables.vectors.repartitionByRange(F.col("sync_seq")).sortWithinPartitions("sync_seq", "post_id", "chunk_number").write.mode("overwrite").parquet(f"{base}/vectors")
-        tables.markers.repartitionByRange(F.col("sync_seq")).sortWithinPartitions("sync_seq").write.mode("overwrite").parquet(f"{base}/markers")
-        read = lambda n: self.spark.read.parquet(f"{base}/{n}")
-        top = visible_seq(read("vectors"), read("markers")).collect()[0][0]
-        done = self._publish(replace(now, version=v, max_visible_sync_seq=max(top, now.max_visible_sync_seq), **status))
-        for old in [n for n in self.files.names() if n.startswith("v") and n < f"v{v - 1:09d}"]:
-            self.files.delete(old)
-        return done
+        """Replaces the whole content."""
+        nothing = self.spark.createDataFrame([], "post_id int")
+        return self._commit(Change(nothing, tables.post_data, tables.vectors, tables.markers), (), **status)
+
+    def append(self, change: Change, **status: Any) -> Status:
+        """Adds a change as a run; writes in proportion to it."""
+        self._commit(change, self.status().runs, **status)
+        self.tidy()
+        return self.status()
+
+    def tidy(self) -> bool:
+        """With more than max_runs live runs, the newest are merged, and with them every older one of at most RATIO times
+        their size: each row is so rewritten about log(size) times."""
+        runs = self.status().runs
+        if len(runs) <= self.max_runs:
+            return False
+        at = self.max_runs - 1
+        while at and runs[at - 1][1] <= RATIO * sum(size for _, size in runs[at:]):
+            at -= 1
+        merged = self._visible([n for n, _ in runs[at:]])
+        if at == 0:
+            merged.touched = merged.touched.limit(0)  # nothing older is left to be passed over
+        self._commit(merged, runs[:at])
+        return True
 
     def ingest(self, posts: DataFrame, config: Config, embed: Embedder, last_block: int, tokenizer_path: str | None = None) -> Status:
         """A batch of posts (post_id, title, body, block_num): prepare, embed, store, publish.
@@ -190,7 +283,7 @@ class Store:
         pre = settle(prepared.pre, "pre")
         vectors = settle(embed_texts(prepared.chunks, "chunk_text", embed).select("post_id", "chunk_number", "embedding"), "vectors")
         status = self.status()
-        return self.write(store_embeddings(self.tables(), pre, vectors, status.max_visible_sync_seq), last_block=max(last_block, status.last_block))
+        return self.append(embedding_change(self.tables(), pre, vectors, status.max_visible_sync_seq), last_block=max(last_block, status.last_block))
 
     def identity(self, fresh: str) -> str:
         """The node's uuid: kept if there is one, else the fresh one."""

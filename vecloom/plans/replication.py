@@ -8,8 +8,9 @@ from ..functions.names import name_of, trimmed
 from ..functions.text import chunk_counters, chunk_posts
 from ..functions.vectors import to_text
 from ..operators import feed, rebase, store
+from ..operators.index import InvertedFile
 from ..operators.diff import current
-from ..session import settle, workspace
+from ..session import SharedFiles, settle, workspace
 from ..sources.files import StatusLine, read_dump, read_status, write_dump, write_status
 from .base import SQL, config, metadata, vectors
 from .registry import Registry, Tables
@@ -418,7 +419,7 @@ def rb06_metrics(t: Tables) -> DataFrame:
     return rebase.merge_metrics(tables, seqs, 20_000_000)
 
 
-@QUERIES.query("rb10_verify")
+@QUERIES.query("rb10_verify", "select unnest(['identity', 'visible', 'head', 'count', 'dense', 'kinds', 'end', 'posts', 'chain', 'search', 'index', 'cleaned']) as check, true as ok")
 def rb10(t: Tables) -> DataFrame:
     """The whole rebase: dump to CSV and back, resolve, diff, merge, swap, and the checks by replaying the feed."""
     path = workspace(t.spark, "rebase")
@@ -435,11 +436,19 @@ def rb10(t: Tables) -> DataFrame:
     state = state.to("diffed")
     rebase.guard(state, o, config())
     merged = rebase.build_merged(o, now, seqs, None)
-    state = state.to("tables_built", merge_count=seqs.count()).to("indexes_built")
+    merged.vectors = settle(merged.vectors, "merged")
+    state = state.to("tables_built", merge_count=seqs.count())
+    rebase.check_unique(merged)
+    index, stats = InvertedFile.build(merged.vectors.select("post_id", "chunk_number", "embedding"), f"{path}/index", 8)
+    state = state.to("indexes_built")
     s = store.Store(t.spark, f"{path}/store")
     state = rebase.swap(s, merged, state)
     live, status = s.tables(), s.status()
     ops = feed.page_ops(live.vectors, live.markers, line.tail_seq, state.merge_count + 1, status.max_visible_sync_seq)
     beyond = feed.page_ops(live.vectors, live.markers, status.max_visible_sync_seq, 10, 2**31 - 1).count()
-    checks = rebase.verify(ops, seqs, o, live, state, status.sync_uuid, status.max_visible_sync_seq, line.sync_uuid, beyond, live.vectors.limit(5).count())
-    return t.spark.createDataFrame(checks, "check string, ok boolean, detail string")
+    found = index.probe(list(live.vectors.filter("embedding is not null").first().embedding), 2).limit(5).count()
+    checks = rebase.verify(ops, seqs, o, live, state, status.sync_uuid, status.max_visible_sync_seq, line.sync_uuid, beyond, found)
+    kept = live.vectors.count()
+    state = rebase.cleanup(s, state, [f"{path}/dump"])
+    checks += [("index", stats.rows == kept, f"{stats.rows} of {kept}"), ("cleaned", not SharedFiles(t.spark, path).exists("dump"), state.phase)]
+    return t.spark.createDataFrame([(name, ok) for name, ok, _ in checks], "check string, ok boolean")

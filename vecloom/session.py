@@ -103,8 +103,8 @@ class SharedFiles:
         return sorted(s.getPath().getName() for s in self._fs.listStatus(path)) if self._fs.exists(path) else []
 
     def size(self, name: str) -> int:
-        """Bytes below a folder."""
-        return int(self._fs.getContentSummary(self._path(name)).getLength())
+        """Bytes below a folder, 0 if there is none."""
+        return int(self._fs.getContentSummary(self._path(name)).getLength()) if self.exists(name) else 0
 
     def uri(self) -> str:
         """The folder as a URI that Python's file systems read, wherever a task runs."""

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecloom.llm import neighbours
-from vecloom.llm.neighbours import CrossPolytope, near_pairs, nearest, sketch, unsketch
+from vecloom.llm.neighbours import Buckets, CrossPolytope, near_pairs, nearest, sketch, unsketch
 
 SCHEMA = "post_id int, chunk_number int, embedding array<float>"
 
@@ -88,6 +88,12 @@ def test_rotations_keep_length_and_axes_are_signed():
     assert (a != b).all() and a.max() < 2 * cp.width and (cp.axes(-x, 0, 0) != a).all()
 
 
+def test_buckets_are_looked_up_by_table():
+    held = Buckets({(0, 5): 3, (0, 900): 7, (2, 5): 4})
+    assert held.get(0, np.array([900, 4, 5, 1000]), 1).tolist() == [7, 1, 3, 1] and held.get(1, np.array([5]), 1).tolist() == [1]
+    assert held and not Buckets() and held.get(2, np.array([], np.int64), 1).tolist() == []
+
+
 def test_current_usable_pairs(spark):
     e = lambda *v: [float(x) for x in [*v, *[0] * (4 - len(v))]]
     rows = [(1, 0, e(1), 5), (1, 0, e(1), 5), (2, 0, e(1, 0.1), 3), (2, 1, e(2), 3), (3, 0, e(1), 1), (3, 1, e(0, 1), 2), (4, 0, None, 9), (4, 1, e(0), 9), (5, 0, [1.0], 1), (6, 0, e(1), None), (None, 0, e(1), 1)]
@@ -123,7 +129,7 @@ def test_pairs_meet_as_surely_in_divided_buckets(depth):
     """Every bucket is divided, those of single rows too."""
     x, cp, divided = hard_pairs(600), CrossPolytope(64, 3), []
     for level in range(depth):
-        divided.append({(t, c) for t in range(3) for _, code, d, _ in cp.paths(x, t, divided, True) if d == level for c in code.tolist()})
+        divided.append(Buckets({(t, c): 1 for t in range(3) for _, code, d, _ in cp.paths(x, t, divided, True) if d == level for c in code.tolist()}))
     met = np.zeros(600, bool)
     for t in range(3):
         at = {}

@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame, functions as F
 
@@ -173,3 +174,22 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", voca
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [key, "ids"])
 
     return rows.mapInArrow(run, f"{key} {kind}, n_tokens int" if count_only else f"{key} {kind}, ids array<int>")
+
+
+def token_bytes(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", vocabulary: str = "byte_bpe_50k.tiktoken", folder: str | None = None) -> DataFrame:
+    """(key, n_bytes): bytes that the ids of each row stand for; 0 for no ids."""
+    path = vocabulary_path(vocabulary, folder)
+    rows = encoded.select(F.col(key).alias(key), F.col(ids).alias("_ids"))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = encoder(path).bytes_of
+        size = np.zeros(max(held) + 1, np.int64)
+        size[list(held)] = [len(b) for b in held.values()]
+        for batch in batches:
+            lists = batch.column(1)
+            total = np.concatenate([[0], np.cumsum(size[np.asarray(lists.flatten())])])
+            at = np.concatenate([[0], np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0))]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total[at[1:]] - total[at[:-1]])], [key, "n_bytes"])
+
+    return rows.mapInArrow(run, f"{key} {kind}, n_bytes long")

@@ -19,12 +19,36 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..operators.diff import current
 from ..session import settle
 
-LEVELS = 3
+LEVELS = 5  # hashes a bucket code holds at most; how deep a bucket is divided follows from its size
 SUBS = 4  # independent divisions of a bucket
 SHRINK = 2  # times that division must lessen the comparisons within a bucket
 DIVIDE = 2 * SUBS  # blocks a row is copied to at most before division, which makes 2 * SUBS copies, is cheaper
 
 
+class Buckets:
+    """A set of buckets (table, code) with a number each, held as sorted arrays: looked up a block of codes at a time."""
+
+    def __init__(self, found: dict[tuple[int, int], int] | None = None):
+        self.held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        by_table: dict[int, list[tuple[int, int]]] = {}
+        for (t, code), n in (found or {}).items():
+            by_table.setdefault(t, []).append((code, n))
+        for t, pairs in by_table.items():
+            codes, numbers = np.array(sorted(pairs), np.int64).T
+            self.held[t] = codes.copy(), numbers.copy()
+
+    def __bool__(self) -> bool:
+        return bool(self.held)
+
+    def get(self, table: int, code: np.ndarray, default: int) -> np.ndarray:
+        """The number of each code's bucket, or the default where it isn't in the set."""
+        if table not in self.held:
+            return np.full(len(code), default, np.int64)
+        codes, numbers = self.held[table]
+        at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+        return np.where(codes[at] == code, numbers[at], default)
+
+
 def _hadamard(n: int) -> np.ndarray:
     h = np.ones((1, 1), np.float32)
     while len(h) < n:
@@ -39,7 +63,8 @@ class CrossPolytope:
         self.dims, self.tables = dims, tables
         self.width = 1 << max(1, (dims - 1).bit_length())
         rng = np.random.default_rng(seed)
-        self.signs = rng.choice(np.array([-1, 1], np.float32), (SUBS, tables, LEVELS, 3, self.width))
+        draw = lambda levels: rng.choice(np.array([-1, 1], np.float32), (SUBS, tables, levels, 3, self.width))
+        self.signs = np.concatenate([draw(3), draw(max(0, LEVELS - 3))], axis=2)  # deeper levels change nothing in the first
         self.h = _hadamard(self.width)
 
     def axes(self, unit: np.ndarray, table: int, level: int, second: bool = False, sub: int = 0) -> np.ndarray:
@@ -56,16 +81,14 @@ class CrossPolytope:
             best = size.argmax(1)
         return (best + self.width * (x[np.arange(len(x)), best] < 0)).astype(np.int64)
 
-    def paths(self, unit: np.ndarray, table: int, divided: list[set[tuple[int, int]]], probe: bool) -> Iterator[tuple[np.ndarray, np.ndarray, int, bool]]:
+    def paths(self, unit: np.ndarray, table: int, divided: list[Buckets], probe: bool) -> Iterator[tuple[np.ndarray, np.ndarray, int, bool]]:
         """(rows, bucket codes, depth, home) of one table; probe: also where a hash takes the second nearest axis.
 
         divided: the buckets of each level that are divided. A row goes on into all SUBS divisions of its bucket.
         """
 
         def step(rows: np.ndarray, code: np.ndarray, level: int, home: bool) -> Iterator[tuple[np.ndarray, np.ndarray, int, bool]]:
-            deeper = np.zeros(len(code), bool)
-            if level < len(divided) and divided[level]:
-                deeper = np.array([(table, c) in divided[level] for c in code.tolist()], bool)
+            deeper = divided[level].get(table, code, 0) > 0 if level < len(divided) else np.zeros(len(code), bool)
             if not deeper.all():
                 yield rows[~deeper], code[~deeper], level, home
             if deeper.any():
@@ -168,8 +191,9 @@ def near_classes(reps: DataFrame, raw: DataFrame, dims: int, floor: float, k: in
     cp = CrossPolytope(dims, tables)
     below_one = SUBS * 2 * cp.width
 
-    def count(level: int, divided: list[set[tuple[int, int]]]) -> dict[tuple[int, int], int]:
+    def count(level: int, divided: list[Buckets]) -> dict[tuple[int, int], int]:
         """Classes in each bucket of a level above the cap; below the first level only in buckets that may be divided."""
+        held = raw.sparkSession.sparkContext.broadcast(divided)  # rows / cap buckets a table and level at most
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -177,26 +201,28 @@ def near_classes(reps: DataFrame, raw: DataFrame, dims: int, floor: float, k: in
                     continue
                 unit = _unit(_matrix(batch.column(1), dims))
                 for t in range(tables):
-                    for rows, code, depth, _ in cp.paths(unit, t, divided, False):
+                    for rows, code, depth, _ in cp.paths(unit, t, held.value, False):
                         if depth == level:
                             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), t, np.int32)), pa.array(code), batch.column(0).take(pa.array(rows))], ["t", "code", "c1"])
 
         got = raw.select("c1", "embedding").mapInArrow(run, "t int, code long, c1 long").groupBy("t", "code").agg(F.approx_count_distinct("c1").alias("n")).filter(F.col("n") > cap)
         return {(r.t, r.code): r.n for r in got.collect()}  # at most tables * SUBS ** level * classes / cap entries
 
-    divided: list[set[tuple[int, int]]] = []
-    blocks: list[dict[tuple[int, int], int]] = []  # of the buckets above the cap that aren't divided
+    divided: list[Buckets] = []
+    blocks: list[Buckets] = []  # of the buckets above the cap that aren't divided
     over = count(0, [])
     while over:
-        big = {b for b, n in over.items() if n > DIVIDE * cap} if len(divided) + 1 < LEVELS else set()
-        parts = count(len(divided) + 1, [*divided, big]) if big else {}
+        big = {b: 1 for b, n in over.items() if n > DIVIDE * cap} if len(divided) + 1 < LEVELS else {}
+        parts = count(len(divided) + 1, [*divided, Buckets(big)]) if big else {}
         work = dict.fromkeys(big, 0)
         for (t, code), n in parts.items():
             if (t, code // below_one) in work:
                 work[t, code // below_one] += n * n
-        divided.append({b for b in big if SHRINK * work[b] < over[b] ** 2})  # a mass that no hash divides stays in blocks
-        blocks.append({b: -(-n // cap) for b, n in over.items() if b not in divided[-1]})
-        over = {(t, code): n for (t, code), n in parts.items() if (t, code // below_one) in divided[-1]}
+        through = {b: 1 for b in big if SHRINK * work[b] < over[b] ** 2}  # a mass that no hash divides stays in blocks
+        divided.append(Buckets(through))
+        blocks.append(Buckets({b: -(-n // cap) for b, n in over.items() if b not in through}))
+        over = {(t, code): n for (t, code), n in parts.items() if (t, code // below_one) in through}
+    layout = reps.sparkSession.sparkContext.broadcast((divided, blocks))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,15 +232,16 @@ def near_classes(reps: DataFrame, raw: DataFrame, dims: int, floor: float, k: in
             packed, step, lost = sketch(unit)
             c1 = np.asarray(batch.column(0))
             bits = pa.FixedSizeBinaryArray.from_buffers(pa.binary(packed.shape[1]), len(packed), [None, pa.py_buffer(packed.tobytes())]).cast(pa.binary())
+            divided, blocks = layout.value
             for t in range(tables):
                 for row, code, depth, home in cp.paths(unit, t, divided, True):
                     key = (code * LEVELS + depth) * tables + t
                     blk = np.zeros(len(row), np.int32)
                     bi, bj = blk, blk
                     if depth < len(blocks) and blocks[depth]:
-                        parts = np.array([blocks[depth].get((t, c), 1) for c in code.tolist()])
+                        parts = blocks[depth].get(t, code, 1)
                         own = np.repeat((c1[row].astype(np.uint64) % parts.astype(np.uint64)).astype(np.int32), parts)
-                        other = np.concatenate([np.arange(p, dtype=np.int32) for p in parts.tolist()])
+                        other = (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)).astype(np.int32)
                         row, key = np.repeat(row, parts), np.repeat(key, parts)
                         blk, bi, bj = own, np.minimum(own, other), np.maximum(own, other)
                     for at in range(0, len(row), 1 << 16):

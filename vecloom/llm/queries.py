@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from ..plans.registry import Registry, Tables
-from .bpe import encode_corpus
+from .bpe import encode_corpus, token_bytes
 from .languages import document_languages, fit, relabelled
 from .neighbours import near_pairs
-from .packing import pack
-from .pieces import split_oversized
+from .packing import group_report, pack, tier_report
+from .pieces import split_oversized, token_count
 from .sentences import split_sentences
 
 QUERIES = Registry()
@@ -37,11 +37,41 @@ def p3_pieces(t: Tables) -> DataFrame:
     return _pieces(t)
 
 
+P3_TOKENS = P3[P3.index("len(") : P3.index(" > ")]
+
+
+@QUERIES.query(
+    "p3_kept",
+    P3.replace("distinct post_id, chunk_number", f"distinct post_id, chunk_number, {P3_TOKENS}::bigint as tokens, true as within, true as overlapping"),
+)
+def p3_kept(t: Tables) -> DataFrame:
+    """Tokens of the chunks that were cut (each counted once), whether all pieces are within the limit, and whether
+    consecutive pieces share the tokens they must."""
+    limits = t.sync_chains.select("sync_uuid", "tokens_per_chunk", "overlap_amount")
+    rules = t.tmp_chunks.select("post_id", "chunk_number", "sync_uuid").distinct().join(limits, "sync_uuid")
+    shared = F.least(F.greatest(F.round(F.coalesce(F.col("overlap_amount").cast("double"), F.lit(0.0)) * F.col("tokens_per_chunk")).cast("int"), F.lit(0)), F.col("tokens_per_chunk") - 1)
+    chunk = _pieces(t).filter("n_pieces > 1").groupBy("post_id", "chunk_number").agg(F.sum("n_tokens").alias("sum"), F.max("n_tokens").alias("most"), F.count(F.lit(1)).alias("n"), F.sum(token_count("piece")).alias("read"))
+    rows = chunk.join(rules, ["post_id", "chunk_number"])
+    return rows.select(
+        "post_id", "chunk_number", (F.col("sum") - (F.col("n") - 1) * shared).cast("long").alias("tokens"), (F.col("most") <= F.col("tokens_per_chunk")).alias("within"), (F.col("read") == F.col("sum")).alias("overlapping")
+    ).distinct()
+
+
 @QUERIES.query("p4_found")
 def p4_found(t: Tables) -> DataFrame:
     return split_sentences(t.tmp_chunks, ["post_id", "chunk_number"], "chunk_text")
 
 
+#: What Python's strip takes away, for DuckDB's rtrim.
+_BLANK = "'" + "".join(c for c in map(chr, range(0x3001)) if c.isspace()) + "'"
+
+
+@QUERIES.query("p4_last", f"select distinct post_id, chunk_number, length(rtrim(chunk_text, {_BLANK}))::int as last_end from tmp_chunks where length(rtrim(chunk_text, {_BLANK})) > 0")
+def p4_last(t: Tables) -> DataFrame:
+    """End of the last sentence of every chunk: no text is left behind it."""
+    return split_sentences(t.tmp_chunks, ["post_id", "chunk_number"], "chunk_text").groupBy("post_id", "chunk_number").agg(F.max("sent_end").alias("last_end"))
+
+
 P5 = """
 with m as (select post_id, max(sync_seq) sync_seq from posts_vectors group by 1),
 v as (select distinct post_id p, chunk_number c, embedding::double[] e from posts_vectors join m using (post_id, sync_seq)
@@ -63,9 +93,45 @@ def p7_ids(t: Tables) -> DataFrame:
     return encode_corpus(t.documents)
 
 
+@QUERIES.query("p7_bytes", "select doc_id, coalesce(strlen(text), 0)::bigint as n_bytes from documents")
+def p7_bytes(t: Tables) -> DataFrame:
+    """(doc_id, n_bytes): bytes that the ids of a document stand for, which are those of its text."""
+    return token_bytes(encode_corpus(t.documents))
+
+
+def _packed(t: Tables) -> DataFrame:
+    return pack(encode_corpus(t.documents, count_only=True), "doc_id", "n_tokens")
+
+
 @QUERIES.query("p8_packed")
 def p8_packed(t: Tables) -> DataFrame:
-    return pack(encode_corpus(t.documents, count_only=True), "doc_id", "n_tokens")
+    return _packed(t)
+
+
+@QUERIES.query("p8_tiers")
+def p8_tiers(t: Tables) -> DataFrame:
+    return tier_report(_packed(t))
+
+
+@QUERIES.query("p8_groups")
+def p8_groups(t: Tables) -> DataFrame:
+    return group_report(_packed(t))
+
+
+@QUERIES.query(
+    "p8_kept",
+    "select doc_id, greatest(1, ceil(coalesce(length(text), 0) / 2048))::bigint as pieces, coalesce(length(text), 0)::bigint as size, true as fits, true as in_place from documents",
+)
+def p8_kept(t: Tables) -> DataFrame:
+    """The same packing by code points: pieces and size of every document, whether its containers are within their capacity
+    and whether nothing in them overlaps."""
+    packed = pack(t.documents.select("doc_id", F.length("text").alias("n")), "doc_id", "n")
+    ends = F.col("offset") + F.col("n_tokens")
+    load = packed.groupBy("container").agg(F.sum("n_tokens").alias("_sum"), F.max(ends).alias("_end"))  # equal where pieces lie end to end
+    rows = packed.join(load, "container")
+    return rows.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("size"), F.bool_and(F.col("_sum") <= 2048).alias("fits"), F.bool_and((F.col("_sum") == F.col("_end")) | (F.col("n_tokens") == 0)).alias("in_place"),
+    )
 
 
 @QUERIES.query("p9_found")

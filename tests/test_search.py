@@ -232,3 +232,44 @@ def test_embedders(spark):
     assert in_order([{"index": 1, "embedding": "b"}, {"index": 0, "embedding": "a"}]) == ["a", "b"]
     half = to_half(spark.createDataFrame([([0.1, 1.0],), (None,)], "v array<float>"), "v").collect()
     assert half[0].v == [float(np.float16(0.1)), 1.0] and half[1].v is None
+
+
+def test_half_precision_queries_meet_half_precision_vectors(spark):
+    """A node that stores halves finds a stored vector at distance 0."""
+    from vecloom.functions.embed import to_half
+
+    rows = spark.createDataFrame([(1, 0, [0.1234567, 0.7654321]), (2, 0, [0.9, 0.1])], "post_id int, chunk_number int, embedding array<float>")
+    posts = spark.createDataFrame([(1, 1), (2, 1)], "id int, author_id int")
+    data = spark.createDataFrame([(1, 5), (2, 5)], "post_id int, number_of_tokens int")
+    c = Corpus(to_half(rows, "embedding"), posts, data)
+    got = nearest_posts(c, [0.1234567, 0.7654321], Config(dims=2, store_half=True), 2).collect()
+    assert [r.post_id for r in got] == [1, 2] and got[0].similarity == 0
+
+
+def test_no_search_shuffles_a_vector(spark, tmp_path):
+    """The plans of every mode and of the page: no exchange carries an embedding."""
+    import re as _re
+
+    from vecloom.operators.authors import thematic_authors
+    from vecloom.operators.search import page_of_posts
+
+    rows = [(i, c, [float(i), 1.0, float(c), 2.0], i) for i in range(1, 30) for c in range(2)]
+    spark.createDataFrame(rows, "post_id int, chunk_number int, embedding array<float>, sync_seq int").write.parquet(f"{tmp_path}/v")
+    spark.createDataFrame([(i, 0, [1.0, float(i)], i) for i in range(1, 30)], "post_id int, chunk_number int, reduced_embedding array<float>, sync_seq int").write.parquet(f"{tmp_path}/r")
+    posts = spark.createDataFrame([(i, i % 3) for i in range(1, 30)], "id int, author_id int")
+    data = spark.createDataFrame([(i, 5) for i in range(1, 30)], "post_id int, number_of_tokens int")
+    muted = spark.createDataFrame([(1, 2)], "observer_id int, muted_id int")
+    for versions in (False, True):
+        c = Corpus(spark.read.parquet(f"{tmp_path}/v"), posts, data, muted, reduced=spark.read.parquet(f"{tmp_path}/r"), matrix=[[1, 0, 0, 0], [0, 1, 0, 0]], versions=versions)
+        q = [1.0, 2.0, 3.0, 4.0]
+        small = Config(dims=4, minimum_candidates=5)
+        found = [
+            nearest_posts(c, q, small, 5, 1, 1), nearest_posts(c, q, small.with_(reduction_mode="slice", reduced_dims=2), 5, None, 1), nearest_posts(c, q, small.with_(reduction_mode="pca", reduced_dims=2), 5, None, 1),
+            page_of_posts(c, q, small, 5, None, 1, 7), thematic_authors(c, q, small, 3, 1),
+        ]
+        for df in found:
+            assert df.count() > 0
+            plan = df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+            for part in plan.split("\n\n"):
+                if _re.match(r"\(\d+\) (Broadcast)?Exchange", part):
+                    assert "embedding" not in part, part

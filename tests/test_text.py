@@ -35,9 +35,30 @@ def test_html_text_of_broken_markup():
     assert html_text("a<b>b</i>c") == "a b c" and html_text("<table>x") == "" and html_text("1 < 2") == "1 < 2"
 
 
+def test_entities_are_decoded_the_same_with_and_without_tags():
+    assert html_text("&amp;lt;") == html_text("<b>&amp;lt;</b>") == "<" and html_text("&amp;amp;lt;") == html_text("<i>&amp;amp;lt;</i>") == "&lt;"
+
+
+class Joining(WordTokenizer):
+    """Every sentence after the first costs a token for joining it."""
+
+    def count(self, text):
+        return len(self.encode(text)) + max(0, text.count(". "))
+
+
+def test_what_is_added_last_is_given_up_first():
+    got = Chunker(Joining(), 12, 0.4).chunk("A b. C d. E f. G h. I j. K l. M n.").chunks
+    assert got == ["A b. C d.", "E f. G h.", "I j. K l.", "K l. M n."]  # a third sentence, then the overlap is given up, the earliest first
+
+
+def test_abbreviations_of_other_languages_end_no_sentence():
+    for text in ("Er kommt z.B. Montag.", "Vive M. Dupont.", "El Sr. Lopez vino.", "Это г. Москва.", "Firma np. Alfa."):
+        assert rule_sentences(text, "en")[0] == [text]
+
+
 def test_columns(spark):
     df = spark.createDataFrame([("a", None), (None, "b")], "t string, b string")
-    assert [r.x for r in df.select(post_text("t", "b").alias("x")).collect()] == ["a.\n\n", ".\n\nb"]
+    assert [r.x for r in df.select(post_text("t", "b").alias("x")).collect()] == [None, None] and spark.range(1).select(post_text(F.lit("a"), F.lit("b"))).first()[0] == "a.\n\nb"
     one = spark.createDataFrame([("안녕 hi. 잘 가!끝",)], "t string")
     r = one.select(split_cjk("t").alias("c"), split_universal("t").alias("u"), guess_language("t").alias("g"), truncated("t", 2).alias("s"), truncated("t", 0).alias("w")).first()
     assert r.c == ["안녕 hi.", "잘 가!", "끝"] and r.u == ["안녕 hi.", "잘 가!끝"] and r.g == "ko" and r.s == "안녕" and r.w.endswith("끝")
@@ -117,3 +138,52 @@ def test_posting_lines_end_at_line_feeds_only(spark):
     df = spark.createDataFrame([(i, s) for i, s in enumerate(texts)], "i int, s string")
     want = [re.sub(r"Posted via.*$|[*_]+", "", s, flags=re.M) for s in texts]
     assert [r.s for r in df.orderBy("i").select(drop_unwanted("s").alias("s")).collect()] == want
+
+
+def test_embedding_service_in_both_protocols():
+    """Against a server that answers out of order and fails at first."""
+    import json
+    import pickle
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    import numpy as np
+
+    from vecloom.functions.embed import EmbeddingService, Retrying
+
+    asked, failures = [], [1]
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            asked.append((self.path, body))
+            if failures:
+                failures.pop()
+                self.send_error(503)
+                return
+            vectors = [[float(len(t)), 1.0] for t in body["input"]]
+            if body["model"] == "short":
+                vectors = vectors[1:]
+            answer = {"embeddings": vectors} if self.path == "/api/embed" else {"data": [{"index": i, "embedding": v} for i, v in reversed(list(enumerate(vectors)))]}
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(answer).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        at = f"http://127.0.0.1:{server.server_port}/"
+        for protocol in ("list", "indexed"):
+            call = pickle.loads(pickle.dumps(Retrying(EmbeddingService(at, "m", protocol, {"n": 1}), None, 0.01)))
+            assert np.array_equal(call(["a", "bbb"]), [[1, 1], [3, 1]]) and len(call([])) == 0
+        assert [p for p, _ in asked] == ["/api/embed", "/api/embed", "/v1/embeddings"] and asked[0][1]["options"] == {"n": 1} and "options" not in asked[2][1]
+        with pytest.raises(ValueError):
+            Retrying(EmbeddingService(at, "short"))(["a", "b"])
+        failures += [1, 1]
+        with pytest.raises(OSError):
+            Retrying(EmbeddingService(at, "m"), 2, 0.01)(["a"])
+    finally:
+        server.shutdown()

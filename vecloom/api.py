@@ -16,13 +16,37 @@ from .functions.names import name_of
 from .functions.text import truncated
 from .operators.authors import named, thematic_authors
 from .operators.feed import chain_list, embedding_updates, feed_headers, names_of_posts, sync_settings
-from .operators.search import Corpus, nearest_to_post, nearest_to_text, post_id_of
+from .operators.search import Corpus, nearest_to_post, nearest_to_text, posts_of
 
-# The routes and the parameters of each.
+# The parameters of requests: type, default (none: required), bounds.
+PARAMETERS = {
+    "q": ("string", None, {}), "topic": ("string", None, {}), "author": ("string", None, {}), "permlink": ("string", None, {}), "posts": ("array", None, {}),
+    "truncate": ("integer", 0, {"minimum": 0, "maximum": 65535}), "result_limit": ("integer", 100, {"minimum": 1, "maximum": MAX_POSTS}), "full_posts": ("integer", 10, {"minimum": 0, "maximum": MAX_FULL}),
+    "observer": ("string", "", {}), "after_seq": ("integer", None, {"minimum": 0}), "page_size": ("integer", 1000, {"minimum": 1}), "sync_uuid": ("string", None, {}),
+}
+# The routes: method, parameters, schema of the answer.
 ROUTES = {
-    "/": (), "/posts/search": ("q", "truncate", "result_limit", "full_posts", "observer"), "/posts/{author}/{permlink}/similar": ("author", "permlink", "truncate", "result_limit", "full_posts", "observer"),
-    "/authors/search": ("topic", "result_limit", "observer"), "/posts/by-ids": ("posts", "truncate", "observer"), "/posts/by-ids-query": ("posts", "truncate", "observer"),
-    "/embedding-updates": ("after_seq", "page_size", "sync_uuid"), "/sync-settings": (), "/sync-chains": (), "/version": (), "/sync-status": (),
+    "/": ("get", (), "Document"), "/posts/search": ("get", ("q", "truncate", "result_limit", "full_posts", "observer"), "Posts"),
+    "/posts/{author}/{permlink}/similar": ("get", ("author", "permlink", "truncate", "result_limit", "full_posts", "observer"), "Posts"), "/authors/search": ("get", ("topic", "result_limit", "observer"), "Names"),
+    "/posts/by-ids": ("post", ("posts", "truncate", "observer"), "Posts"), "/posts/by-ids-query": ("get", ("posts", "truncate", "observer"), "Posts"),
+    "/embedding-updates": ("get", ("after_seq", "page_size", "sync_uuid"), "Operations"), "/sync-settings": ("get", (), "Settings"), "/sync-chains": ("get", (), "Chains"), "/version": ("get", (), "Version"), "/sync-status": ("get", (), "Status"),
+}
+
+
+def _object(**fields: str) -> dict[str, Any]:
+    return {"type": "object", "properties": {k: {"type": v} if v != "vectors" else {"type": "array", "items": {"type": "array", "items": {"type": "number"}}} for k, v in fields.items()}}
+
+
+def _list(item: dict[str, Any]) -> dict[str, Any]:
+    return {"type": "array", "items": item}
+
+
+_SETTINGS = {"sync_uuid": "string", "llm": "string", "embedding_dimensionality": "integer", "document_prefix": "string", "query_prefix": "string", "tokens_per_chunk": "integer", "overlap_amount": "number", "min_token_threshold": "integer", "max_embeddings_per_post": "integer", "skipped_op_count": "integer"}
+ANSWERS = {
+    "Document": {"type": "object"}, "Names": {"oneOf": [_list({"type": "string"}), {"type": "object", "maxProperties": 0}]}, "Version": {"type": "string"},
+    "Posts": _list({"oneOf": [_object(author="string", permlink="string", post_id="integer", title="string", body="string", similarity="number"), _object(author="string", permlink="string"), {"type": "null"}]}),
+    "Operations": _list(_object(sync_seq="integer", op="string", author="string", permlink="string", number_of_tokens="integer", last_vectors_block="integer", embeddings="vectors")),
+    "Settings": _object(**_SETTINGS), "Chains": _list(_object(position="integer", priority="integer", base_url="string", note="string", **_SETTINGS)), "Status": _object(last_block_num="integer", last_block_time="string"),
 }
 
 
@@ -51,7 +75,8 @@ class Api:
         """The first ``full`` posts whole, the rest by name, in order of similarity."""
         names = names_of_posts(self.corpus.posts, self.corpus.accounts, self.corpus.permlinks)
         found = hits.join(names, "post_id")
-        body = self.bodies.select("post_id", "title", truncated("body", truncate).alias("body"))
+        whole = F.broadcast(hits.filter(F.col("similarity_order") <= full).select("post_id"))  # at most 50
+        body = self.bodies.select("post_id", "title", truncated("body", truncate).alias("body")).join(whole, "post_id", "left_semi")
         rows = found.join(body, "post_id", "left").orderBy("similarity_order").collect()  # at most 1000
         out = []
         for r in rows:
@@ -89,7 +114,7 @@ class Api:
         if any(not isinstance(p, dict) or not p.get("author") or not p.get("permlink") for p in posts):
             raise ValueError("every post needs author and permlink")
         self.observer_id(observer)
-        ids = [post_id_of(self.corpus, p["author"], p["permlink"]) for p in posts]
+        ids = posts_of(self.corpus, [(p["author"], p["permlink"]) for p in posts])
         names = names_of_posts(self.corpus.posts, self.corpus.accounts, self.corpus.permlinks).filter(F.col("post_id").isin([i for i in ids if i is not None]))
         body = self.bodies.select("post_id", "title", truncated("body", truncate).alias("body"))
         rows = {r.post_id: r.asDict() for r in names.join(body, "post_id", "left").collect()}
@@ -125,8 +150,21 @@ class Api:
         return {"last_block_num": last_block, "last_block_time": block_time.strftime("%Y-%m-%dT%H:%M:%S") if block_time else None}
 
     def openapi(self) -> dict[str, Any]:
-        paths = {r: {"get": {"parameters": [{"name": p, "in": "path" if "{" + p + "}" in r else "query"} for p in params]}} for r, params in ROUTES.items()}
-        return {"openapi": "3.1.0", "info": {"title": "vecloom", "version": self.version()}, "paths": paths}
+        """The interface's own description, made from the tables of routes, parameters and answers."""
+        paths: dict[str, Any] = {}
+        for route, (method, names, answer) in ROUTES.items():
+            call: dict[str, Any] = {"operationId": method + "".join(w.capitalize() for w in route.replace("{", "").replace("}", "").replace("-", "/").split("/")), "parameters": []}
+            for name in names:
+                kind, default, bounds = PARAMETERS[name]
+                if kind == "array" and method == "post":
+                    call["requestBody"] = {"required": True, "content": {"application/json": {"schema": _object(**{name: kind})}}}
+                    continue
+                schema = {"type": "string" if kind == "array" else kind, **bounds} | ({} if default is None else {"default": default})
+                inside = "{" + name + "}" in route
+                call["parameters"].append({"name": name, "in": "path" if inside else "query", "required": inside or default is None, "schema": schema})
+            call["responses"] = {"200": {"description": answer, "content": {"application/json": {"schema": {"$ref": f"#/components/schemas/{answer}"}}}}, "400": {"description": "a parameter is refused"}, "404": {"description": "a name isn't known"}}
+            paths[route] = {method: call}
+        return {"openapi": "3.1.0", "info": {"title": "vecloom", "version": self.version()}, "paths": paths, "components": {"schemas": ANSWERS}}
 
 
 def fresh(block_time: datetime, now: datetime | None = None, seconds: int = 60) -> bool:

@@ -6,9 +6,12 @@ network and is the same on every machine.
 
 from __future__ import annotations
 
+import json
 import re
 import time
-from collections.abc import Callable, Iterator, Sequence
+import urllib.request
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -37,25 +40,61 @@ class HashingEmbedder:
 
 
 class Retrying:
-    """Repeats a call after IO errors, waiting longer each time, and checks the count of the vectors."""
+    """Repeats a call after IO errors, waiting twice as long each time up to ``longest`` seconds, and checks the count of the vectors.
 
-    def __init__(self, embed: Embedder, attempts: int = 3, wait: float = 1.0):
-        self.embed, self.attempts, self.wait = embed, attempts, wait
+    attempts: none for no end, as ingestion must not drop posts; searches bound it.
+    """
+
+    def __init__(self, embed: Embedder, attempts: int | None = 3, wait: float = 1.0, longest: float = 120.0):
+        self.embed, self.attempts, self.wait, self.longest = embed, attempts, wait, longest
 
     def __call__(self, texts: Sequence[str]) -> np.ndarray:
-        for attempt in range(self.attempts):
+        tried, wait = 0, self.wait
+        while True:
             try:
                 got = np.asarray(self.embed(texts))
                 break
             except OSError:
-                if attempt == self.attempts - 1:
+                tried += 1
+                if tried == self.attempts:
                     raise
-                time.sleep(self.wait * 2**attempt)
+                time.sleep(wait)
+                wait = min(2 * wait, self.longest)
         if len(got) != len(texts):
             raise ValueError(f"{len(texts)} texts gave {len(got)} vectors")
         return got
 
 
+class EmbeddingService:
+    """An embedding server over HTTP. It can be pickled, so every task talks to the server by itself.
+
+    protocol: ``list`` posts {model, input, options} and gets {embeddings: [vector, ...]}; ``indexed`` posts
+    {model, input} and gets {data: [{index, embedding}, ...]} in any order. Errors of the network and answers other than 200 are
+    OSErrors, for ``Retrying`` to repeat. No texts need no request.
+    """
+
+    # The path of each protocol.
+    PATHS = {"list": "/api/embed", "indexed": "/v1/embeddings"}
+
+    def __init__(self, address: str, model: str, protocol: str = "list", options: Mapping[str, Any] | None = None, timeout: float = 300.0):
+        self.url = address.rstrip("/") + self.PATHS[protocol]
+        self.model, self.protocol, self.options, self.timeout = model, protocol, dict(options or {}), timeout
+
+    def __call__(self, texts: Sequence[str]) -> np.ndarray:
+        if not texts:
+            return np.empty((0, 0), np.float32)
+        asked: dict[str, Any] = {"model": self.model, "input": list(texts)}
+        if self.options and self.protocol == "list":
+            asked["options"] = self.options
+        request = urllib.request.Request(self.url, json.dumps(asked).encode(), {"Content-Type": "application/json"})
+        with urllib.request.urlopen(request, timeout=self.timeout) as answer:  # noqa: S310
+            if answer.status != 200:
+                raise OSError(f"answer {answer.status} of {self.url}")
+            got = json.load(answer)
+        rows = in_order(got.get("data", [])) if self.protocol == "indexed" else got.get("embeddings", [])
+        return np.asarray(rows, np.float32).reshape(len(rows), -1)
+
+
 def in_order(items: Sequence[dict]) -> list:
     """Vectors of a service's answer, put in the order of its ``index`` numbers."""
     return [x["embedding"] for x in sorted(items, key=lambda x: x["index"])]

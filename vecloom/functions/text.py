@@ -67,10 +67,13 @@ class _Text(HTMLParser):
 
 
 def html_text(text: str) -> str:
-    """Text of an HTML fragment without scripts, styles, images and tables, its pieces joined by a space."""
+    """Text of an HTML fragment without scripts, styles, images and tables, its pieces joined by a space.
+
+    Entities are decoded once before the tags are read and once with them, whether or not there are any.
+    """
     text = html.unescape(text)
     if "<" not in text:
-        return text
+        return html.unescape(text)
     parser = _Text()
     parser.feed(text)
     parser.close()
@@ -140,8 +143,8 @@ def split_universal(c: Column | str) -> Column:
 
 
 def post_text(title: Column | str, body: Column | str) -> Column:
-    """Title, full stop, blank line, body; a missing part counts as empty."""
-    return F.concat(F.coalesce(_c(title), F.lit("")), F.lit(".\n\n"), F.coalesce(_c(body), F.lit("")))
+    """Title, full stop, blank line, body; null if either is missing."""
+    return F.concat(_c(title), F.lit(".\n\n"), _c(body))
 
 
 def truncated(body: Column | str, n: int) -> Column:
@@ -199,7 +202,30 @@ def tokenizer(path: str | None):
 _SPACE = re.compile(r"\s+")
 _RULES = re.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+(?=[\"'“‘(\[¿¡]?[^\W\d_a-z])|(?<=[。？！।॥۔؟])[」』”]?\s*|\r?\n+")
 _CLOSED = re.compile(r'"[^"\n]*"|“[^”\n]*”|«[^»\n]*»|\([^()\n]*\)|\[[^\[\]\n]*\]')
-_ABBREVIATED = re.compile(r"(?:\b(?:Mr|Mrs|Ms|Dr|Prof|St|No|vs|etc|e\.g|i\.e|approx|Fig|Vol)|\b[A-Z])\.$")
+# Abbreviations that end no sentence, by language.
+ABBREVIATIONS = """
+en Mr Mrs Ms Dr Prof St No vs etc e.g i.e approx Fig Vol Jr Sr Inc Ltd Gen Col Capt Lt Sgt Rev Hon
+de Hr Fr Nr bzw z.B d.h u.a usw vgl evtl ggf inkl ca Abs Str Dipl Ing
+fr M MM Mme Mlle p.ex c.-à-d env av etc chap fig
+es Sr Sra Srta Dr Dra Ud Uds p.ej núm pág etc aprox
+it Sig Sig.ra Dott Prof Avv ecc pag es
+pt Sr Sra Dr Dra p.ex etc pág núm
+nl dhr mevr bijv enz o.a d.w.z blz
+pl np tzn itd itp ul dr prof mgr inż
+ru т.е т.д т.п г ул им проф стр рис
+uk т.д т.п ім вул проф стор рис
+bg т.н т.е и.др г ул проф
+sk napr t.j atď č str ul
+da f.eks bl.a osv ca nr
+el π.χ κ κα δηλ κ.λπ
+hy օր և.այլն
+kk т.б б.ж
+tr vb Dr Prof örn bkz Sn
+hi डॉ श्री सुश्री प्रो
+mr डॉ श्री
+"""
+_WORDS = sorted({re.escape(w) for line in ABBREVIATIONS.split("\n") for w in line.split()[1:]}, key=lambda w: (-len(w), w))
+_ABBREVIATED = re.compile(r"(?:(?<!\w)(?:" + "|".join(_WORDS) + r")|\b[^\W\d_a-z])\.$")
 _UNIVERSAL, _CJK, _DIGITS = re.compile(UNIVERSAL_END), re.compile(CJK_END), re.compile(DIGIT_BRACKET)
 _PAIRS = (('"', '"'), ("“", "”"), ("'", "'"), ("(", ")"), ("[", "]"))
 _KO, _JA, _ZH = (re.compile(p) for p in (KOREAN, JAPANESE, CHINESE))
@@ -245,7 +271,8 @@ class Chunker:
 
     A chunk first takes new sentences up to the budget less the overlap, then the previous chunk's last sentences as far as
     the whole budget allows, then further new ones. Joining may need more tokens than its sentences, so the finished text is counted
-    and gives up its latest sentences until it fits; new ones among them come again in the next chunk.
+    and gives up sentences until it fits, those added last first: the further ones, the overlap from its earliest
+    on, and last those of the first step but one. New ones that were given up come again in the next chunk.
     """
 
     def __init__(self, tok, max_tokens: int, overlap: float, prefix: str = "", max_chunks: int | None = None):
@@ -313,20 +340,24 @@ class Chunker:
                     break
                 old.insert(0, (s, n))
                 used += n
-            while at + len(new) < len(sentences) and used + sentences[at + len(new)][1] <= self.budget:
-                new.append(sentences[at + len(new)])
-                used += new[-1][1]
-            while not self._fits([s for s, _ in old + new]):
-                if len(new) > 1:
-                    new.pop()
+            more: list[tuple[str, int]] = []
+            while at + len(new) + len(more) < len(sentences) and used + sentences[at + len(new) + len(more)][1] <= self.budget:
+                more.append(sentences[at + len(new) + len(more)])
+                used += more[-1][1]
+            while not self._fits([s for s, _ in old + new + more]):
+                if more:
+                    more.pop()
                 elif old:
                     old.pop(0)
+                elif len(new) > 1:
+                    new.pop()
                 else:
                     s, n = new[0]
                     tokens = self.tok.encode(s)
                     if len(tokens) <= 1:
                         break
                     new[0] = (self.tok.decode(tokens[:-1]), len(tokens) - 1)
+            new += more
             at += len(new)
             before = old + new
             done.chunks.append(self.prefix + " ".join(s for s, _ in before))
@@ -344,7 +375,7 @@ def chunk_posts(posts: DataFrame, key: str, text: str, max_tokens: int, overlap:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Chunker(tokenizer(tokenizer_path), max_tokens, overlap, prefix, max_chunks)
-        for batch in batches:
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             done = [make.chunk(t) if t and t.strip() else Chunked([], 0) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..config import AUTHOR_FACTOR, MAX_AUTHORS, MAX_EXHAUSTIVE, Config, Debug, ann_candidates, clamp, gate
-from .search import Corpus, hide_muted, measured, nearest_chunks, rounded_distance
+from .search import Corpus, hide_muted, measured, nearest_chunks, rounded_distance, stored_form
 
 
 def score_authors(chunks: DataFrame, limit: int) -> DataFrame:
@@ -29,7 +29,7 @@ def thematic_authors(corpus: Corpus, query: Sequence[float], config: Config, lim
     candidates = ann_candidates(limit, AUTHOR_FACTOR, config, debug)
     if debug.exhaustive:
         posts = corpus.posts.select(F.col("id").alias("post_id"), "author_id")
-        top = measured(corpus, corpus.vectors, similarity=rounded_distance("embedding", query)).join(posts, "post_id")
+        top = measured(corpus, corpus.vectors, similarity=rounded_distance("embedding", stored_form(query, config))).join(posts, "post_id")
         top = top.orderBy("similarity", "post_id", "chunk_number").limit(min(candidates, MAX_EXHAUSTIVE))
         data = corpus.post_data.select("post_id", "number_of_tokens")
         if config.min_token_search_threshold > 0:

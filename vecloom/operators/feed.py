@@ -56,6 +56,7 @@ def feed_headers(config: Config, current_block: int) -> dict[str, str]:
     return {"X-Current-Block-Num": str(current_block), "X-Skipped-Op-Count": str(config.skipped_op_count + config.upstream_skipped_op_count)}
 
 
+# Settings that nodes of one chain share, in the order they are reported.
 SETTING_KEYS = ("llm", "embedding_dimensionality", "document_prefix", "query_prefix", "tokens_per_chunk", "overlap_amount", "min_token_threshold", "max_embeddings_per_post")
 
 
@@ -76,17 +77,16 @@ def chain_list(own: DataFrame, foreign: DataFrame) -> DataFrame:
     return both.withColumn("position", F.row_number().over(w).cast("int")).drop("_own")
 
 
+def _agree(a: Any, b: Any, tolerance: float) -> bool:
+    """Are two settings the same? Fractions, which chains send in single precision, within the tolerance."""
+    if isinstance(a, float) and isinstance(b, (int, float)) or isinstance(b, float) and isinstance(a, (int, float)):
+        return abs(a - b) <= tolerance
+    return a == b
+
+
 def config_mismatches(local: Mapping[str, Any], chain: Mapping[str, Any], tolerance: float = 1e-6) -> list[str]:
-    """Settings that differ, in the fixed order of SETTING_KEYS; the overlap may differ by the tolerance."""
-    out = []
-    for key in SETTING_KEYS:
-        a, b = local.get(key), chain.get(key)
-        if key == "overlap_amount" and a is not None and b is not None:
-            if abs(float(a) - float(b)) > tolerance:
-                out.append(key)
-        elif a != b:
-            out.append(key)
-    return out
+    """Settings in which a chain disagrees with the local node; a setting that one side leaves out is null there."""
+    return [key for key in SETTING_KEYS if not _agree(local.get(key), chain.get(key), tolerance)]
 
 
 def select_chain(chains: Iterable[Mapping[str, Any]], local: Mapping[str, Any], known_uuid: str | None = None) -> Mapping[str, Any]:

@@ -29,6 +29,12 @@ def recall_table(exact: DataFrame, approximate: DataFrame, ks: Sequence[int] = (
     return means.select(F.inline(F.array(*rows)))
 
 
-def overlap(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, common): sizes of the intersections of two id lists."""
-    return a.join(b.withColumnRenamed("ids", "ids_b"), list(by)).select(*by, F.size(F.array_intersect("ids", "ids_b")).alias("common"))
+def overlap(a: DataFrame, b: DataFrame, by: Sequence[str], item: str) -> DataFrame:
+    """(by, common): how many different items of a group both sides have; 0 for groups of both without any.
+
+    Joined by item, not as lists, so a group of any size is spread over many tasks.
+    """
+    left, right = (df.select(*by, item).distinct() for df in (a, b))
+    both = left.filter(F.col(item).isNotNull()).join(right, [*by, item], "left_semi").groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    groups = left.select(*by).distinct().join(right.select(*by).distinct(), list(by), "left_semi")
+    return groups.join(both, list(by), "left").select(*by, F.coalesce("_n", F.lit(0)).cast("int").alias("common"))

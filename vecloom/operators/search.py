@@ -45,6 +45,11 @@ def rounded_distance(vec: Column | str, query: Sequence[float]) -> Column:
     return F.round(cosine_distance_to(vec, query), 6)
 
 
+def stored_form(query: Sequence[float], config: Config) -> list[float]:
+    """The query in the precision in which vectors are stored."""
+    return np.asarray(query, np.float16 if config.store_half else np.float64).astype(np.float64).tolist()
+
+
 def root_post() -> Column:
     """A post that opens a thread."""
     return (F.col("root_id") == F.col("id")) | (F.col("root_id") == 0)
@@ -102,6 +107,7 @@ def nearest_chunks(corpus: Corpus, query: Sequence[float], config: Config, candi
     is the bound of what is broadcast. The candidates' own chunks are reranked, other chunks of their posts aren't looked at.
     """
     keys = ["post_id", "chunk_number", *extra]
+    query = stored_form(query, config)
     near = lambda rows, d: eligible(corpus, rows, config, observer, exclude).orderBy(d, "post_id", "chunk_number").limit(candidates)
     if config.reduction_mode == "pca":
         if corpus.reduced is None or corpus.matrix is None:
@@ -134,7 +140,7 @@ def nearest_posts(corpus: Corpus, query: Sequence[float], config: Config, limit:
 
 def exhaustive_posts(corpus: Corpus, query: Sequence[float], config: Config, limit: int, exclude: int | None = None, observer: int = 0) -> DataFrame:
     """The limit comes before the filters here, so filtered chunks aren't replaced by farther ones."""
-    top = measured(corpus, corpus.vectors, similarity=rounded_distance("embedding", query))
+    top = measured(corpus, corpus.vectors, similarity=rounded_distance("embedding", stored_form(query, config)))
     top = top.orderBy("similarity", "post_id", "chunk_number").limit(min(limit * 10, MAX_EXHAUSTIVE))
     return ranked(best_chunks(eligible(corpus, top, config, observer, exclude)), limit)
 
@@ -146,7 +152,7 @@ def page_of_posts(corpus: Corpus, query: Sequence[float], config: Config, limit:
     an unknown one gives an empty page. The token threshold applies after that. The position of the start post is one
     row, so a page is a range filter on (distance, post) and a top-k: no ranking of the whole corpus.
     """
-    open_config = config.with_(min_token_search_threshold=0)
+    open_config, query = config.with_(min_token_search_threshold=0), stored_form(query, config)
     rows = eligible(corpus, measured(corpus, corpus.vectors, similarity=rounded_distance("embedding", query)), open_config, observer, exclude)
     best = rows.groupBy("post_id").agg(F.min(F.struct("similarity", "chunk_number")).alias("b")).select("post_id", "b.similarity", "b.chunk_number")
     if after_post is not None:
@@ -158,13 +164,25 @@ def page_of_posts(corpus: Corpus, query: Sequence[float], config: Config, limit:
     return ranked(best, clamp(limit, 1, MAX_POSTS))
 
 
+def posts_of(corpus: Corpus, names: Sequence[tuple[str, str]]) -> list[int | None]:
+    """For each name the live post with the highest id, else a deleted one; none if there is no such post. One job for all.
+
+    Accounts and permlinks are looked up first, so the posts are read with filters on their ids.
+    """
+    wanted = [(a.strip().lower().removeprefix("@"), p.strip().lower().removeprefix("@")) for a, p in names]
+    if not wanted:
+        return []
+    spark = corpus.posts.sparkSession
+    asked = F.broadcast(spark.createDataFrame(sorted(set(wanted)), "_author string, _permlink string"))  # a request's names
+    some = lambda df, name, own: df.select(F.col("id").alias(f"{own}_id"), name_of(name).alias(f"_{own}")).join(asked.select(f"_{own}").distinct(), f"_{own}", "left_semi")
+    rows = corpus.posts.join(some(corpus.accounts, "name", "author"), "author_id").join(some(corpus.permlinks, "permlink", "permlink"), "permlink_id").join(asked, ["_author", "_permlink"])
+    best = rows.groupBy("_author", "_permlink").agg(F.max(F.struct((F.coalesce("counter_deleted", F.lit(1)) == 0).alias("live"), "id")).alias("b"))
+    found = {(r._author, r._permlink): r.id for r in best.select("_author", "_permlink", "b.id").collect()}
+    return [found.get(w) for w in wanted]
+
+
 def post_id_of(corpus: Corpus, author: str, permlink: str) -> int | None:
-    """The live post of a name with the highest id, else a deleted one; none if there is no such post."""
-    a = corpus.accounts.filter(name_of("name") == author.strip().lower().lstrip("@")).select(F.col("id").alias("author_id"))
-    p = corpus.permlinks.filter(name_of("permlink") == permlink.strip().lower()).select(F.col("id").alias("permlink_id"))
-    rows = corpus.posts.join(a, "author_id", "left_semi").join(p, "permlink_id", "left_semi")
-    top = rows.orderBy(F.desc(F.col("counter_deleted") == 0), F.desc("id")).select("id").limit(1).collect()
-    return top[0].id if top else None
+    return posts_of(corpus, [(author, permlink)])[0]
 
 
 def first_vector(corpus: Corpus, post_id: int) -> list[float]:

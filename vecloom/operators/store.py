@@ -16,7 +16,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..config import Config
-from ..functions.embed import Embedder, embed_texts
+from ..functions.embed import Embedder, embed_texts, to_half
 from ..functions.text import chunk_posts, clean, post_text
 from ..schemas import DELETED, POST_DATA, POSTS_VECTORS
 from ..session import SharedFiles
@@ -281,7 +281,8 @@ class Store:
 
         prepared = prepare_chunks(posts, config, tokenizer_path)
         pre = settle(prepared.pre, "pre")
-        vectors = settle(embed_texts(prepared.chunks, "chunk_text", embed).select("post_id", "chunk_number", "embedding"), "vectors")
+        vectors = embed_texts(prepared.chunks, "chunk_text", embed).select("post_id", "chunk_number", "embedding")
+        vectors = settle(to_half(vectors, "embedding") if config.store_half else vectors, "vectors")
         status = self.status()
         return self.append(embedding_change(self.tables(), pre, vectors, status.max_visible_sync_seq), last_block=max(last_block, status.last_block))
 

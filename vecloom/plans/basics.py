@@ -119,9 +119,10 @@ def ag05(t: Tables) -> DataFrame:
     return t.posts_vectors.agg(F.countDistinct("post_id").alias("posts"), F.countDistinct("post_id", "chunk_number").alias("chunks"))
 
 
-@QUERIES.query("ag11_ordered_names", "select author_id, to_json(list(id order by id)) as ids from hive_posts group by author_id")
+@QUERIES.query("ag11_ordered_names", "select author_id, id // 1024 as part, to_json(list(id order by id)) as ids from hive_posts group by author_id, id // 1024")
 def ag11(t: Tables) -> DataFrame:
-    return t.hive_posts.groupBy("author_id").agg(F.to_json(F.sort_array(F.collect_list("id"))).alias("ids"))
+    """In parts by range of the unique id, so that no list outgrows 1024, whatever share of all posts an author has."""
+    return t.hive_posts.groupBy("author_id", F.floor(F.col("id") / 1024).cast("int").alias("part")).agg(F.to_json(F.sort_array(F.collect_list("id"))).alias("ids"))
 
 
 @QUERIES.query("wn04_best_chunk", _WITH + ", d as (select post_id, chunk_number, round(list_cosine_distance(e, (select e from q)), 6) d from pv) select post_id, arg_min(chunk_number, (d, chunk_number)) as chunk_number, min(d) as similarity from d group by post_id")
@@ -168,8 +169,8 @@ def st03(t: Tables) -> DataFrame:
 
 @QUERIES.query("st04_intersections", "select author_id, len(list_intersect(list(id), list(permlink_id)))::int as common from hive_posts group by 1")
 def st04(t: Tables) -> DataFrame:
-    a = t.hive_posts.groupBy("author_id").agg(F.collect_list("id").alias("ids"))
-    return overlap(a, t.hive_posts.groupBy("author_id").agg(F.collect_list("permlink_id").alias("ids")), ["author_id"])
+    some = lambda c: t.hive_posts.select("author_id", F.col(c).alias("id"))
+    return overlap(some("id"), some("permlink_id"), ["author_id"], "id")
 
 
 @QUERIES.query("st05_symmetric_difference", "select post_id, '<' as side from (select post_id from post_data except all select distinct post_id from post_data) union all select post_id, '>' from (select distinct post_id from post_data except all select post_id from post_data)")
@@ -246,7 +247,7 @@ def sf10(t: Tables) -> DataFrame:
     return _docs(t).select("doc_id", F.size(tx.split_cjk("text")).alias("cjk"), F.size(tx.split_universal("text")).alias("universal"))
 
 
-@QUERIES.query("sf12_post_text", "select doc_id, coalesce(source, '') || '.' || chr(10) || chr(10) || coalesce(text, '') as text from documents")
+@QUERIES.query("sf12_post_text", "select doc_id, source || '.' || chr(10) || chr(10) || text as text from documents")
 def sf12(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", tx.post_text("source", "text").alias("text"))
 
@@ -282,7 +283,7 @@ def jf01(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), F.map_contains_key(F.from_json("props", "map<string,string>"), "k").alias("has_k"))
 
 
-@QUERIES.query("jf02_json_objects")
+@QUERIES.query("jf02_json_objects", "select id, to_json({'author': name, 'n': id}) as j from hive_accounts")
 def jf02(t: Tables) -> DataFrame:
     return t.hive_accounts.select("id", F.to_json(F.struct(F.col("name").alias("author"), F.col("id").alias("n"))).alias("j"))
 
@@ -307,7 +308,7 @@ def src04_all(t: Tables) -> DataFrame:
     return _dumped(t).select("author", "permlink", "chunk_number", "sync_seq", "embedding")
 
 
-@QUERIES.query("src06_status_line")
+@QUERIES.query("src06_status_line", "select '577013fd' as sync_uuid, 100::int as tail_seq, 2::int as skipped, 80000000::int as block")
 def src06(t: Tables) -> DataFrame:
     path = workspace(t.spark, "status")
     files.write_status(t.spark, path, files.StatusLine("577013fd", 100, 2, 80000000))
@@ -321,7 +322,7 @@ def src08(t: Tables) -> DataFrame:
     return files.matrix_from_json(t.spark, f"{path}/m.json")
 
 
-@QUERIES.query("src09_matrix_files")
+@QUERIES.query("src09_matrix_files", "select unnest(['.npy', '.json', '.json.gz']) as ext, 2::bigint as components, 2::bigint as dims, 10.0::double as total")
 def src09(t: Tables) -> DataFrame:
     rows = []
     with tempfile.TemporaryDirectory() as d:  # on the driver only

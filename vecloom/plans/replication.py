@@ -283,16 +283,14 @@ def cf07(t: Tables) -> DataFrame:
 @QUERIES.query("src07_feed_pull")
 def src07(t: Tables) -> DataFrame:
     """Operations written as JSON pages and pulled again through the data source."""
-    from ..session import SharedFiles
     from ..sources.feed import COLUMNS, FeedSource
 
     path = workspace(t.spark, "pages")
     v = vectors(t)
     page = feed.embedding_updates(v, _markers(t), metadata(t), feed.names_of_posts(t.hive_posts, t.hive_accounts, t.hive_permlink_data), config(sync_uuid="own", max_visible_sync_seq=10_000_000), 0, 1000, "own")
-    text = page.agg(F.to_json(F.collect_list(F.struct(*COLUMNS))).alias("j")).first().j
-    SharedFiles(t.spark, path).write("page-0.json", text)
+    page.select(*COLUMNS).write.json(path, ignoreNullFields=False)
     t.spark.dataSource.register(FeedSource)
-    return t.spark.read.format("vecloom_feed").option("folder", path.removeprefix("file://").removeprefix("file:")).option("page_size", "200").load().drop("embeddings")
+    return t.spark.read.format("vecloom_feed").option("folder", SharedFiles(t.spark, path).uri()).option("page_size", "200").load().drop("embeddings")
 
 
 # -- rebase ----------------------------------------------------------------------------------------------------

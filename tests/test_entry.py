@@ -30,3 +30,13 @@ def test_the_rest_runs_without_the_subpackage(monkeypatch):
     e = importlib.import_module("__spark_entry__")
     assert "p1_found" in e.queries() and not any(n.startswith(("p3", "p4", "p5", "p7", "p8", "p9")) for n in e.queries())
     monkeypatch.delitem(sys.modules, "__spark_entry__")
+
+
+def test_intermediates_are_removed(spark):
+    from vecloom.session import SharedFiles, intermediates, settle, shared_dir
+
+    files = SharedFiles(spark, shared_dir(spark) + "/vecloom")
+    with intermediates(spark):
+        kept = settle(spark.range(5), "kept-for-now")
+        assert kept.count() == 5 and any(n.startswith("kept-for-now") for n in files.names())
+    assert not any(n.startswith("kept-for-now") for n in files.names())

@@ -328,3 +328,24 @@ def test_csv_gives_every_string_back(spark, path):
     write_csv(df.coalesce(1), f"{path}/odd.csv")
     back = [tuple(r) for r in read_csv(spark, f"{path}/odd.csv", "a string, b string, n int").collect()]
     assert sorted(back, key=repr) == sorted(given, key=repr)
+
+
+def test_block_loop(spark, path):
+    """Waits for its first block, takes ranges far from the head and single blocks near it, stops and goes on."""
+    from vecloom.streaming.driver import BlockLoop
+
+    chain_ = spark.createDataFrame([(1, 1, 12, 12, LONG), (2, 0, 18, 18, LONG), (3, 1, 19, 19, LONG), (4, 4, 31, 14, "short")], "id int, root_id int, block_num int, block_num_created int, body string")
+    heads, slept, taken = [9, 9, 30], [], []
+    s = store.Store(spark, path)
+    loop = BlockLoop(s, CFG, HashingEmbedder(4), lambda: chain_, lambda: chain_.select(F.col("id").alias("post_id"), F.lit("t").alias("title"), "body"), lambda: heads[0], first_block=10, stop_at=28, size=10, near=5)
+    step = loop.step
+    loop.step = lambda a, z: (taken.append((a, z)), step(a, z))
+    assert loop.run(sleep=lambda n: (slept.append(n), heads.pop(0))) == "block limit reached"
+    assert slept == [3.0, 3.0] and taken == [(10, 19), (20, 28)] and s.status().last_block == 28
+    assert {r.post_id for r in s.tables().vectors.collect()} == {1, 2} and {r.post_id for r in s.tables().post_data.collect()} == {1, 2, 4}
+    s.update(continue_processing=False)
+    assert loop.run() == "stop requested"
+    s.update(continue_processing=True)
+    loop.stop_at = None
+    heads[0] = 31
+    assert loop.run() == "head reached" and taken[2:] == [(29, 29), (30, 30), (31, 31)] and s.status().last_block == 31

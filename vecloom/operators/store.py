@@ -38,11 +38,14 @@ def ordered_ids(ranged: DataFrame) -> DataFrame:
 def tasks(ranged: DataFrame, size: int = 100) -> DataFrame:
     """(task, first_block, last_block, post_ids): posts dealt into tasks of a fixed size in block order.
 
-    The position of a post is worked out without one global window: counts per block are added up first and posts are
-    numbered within their block.
+    The position of a post is worked out without a window over all posts or blocks: counts per block are added up in cells of
+    4096 blocks, the cells' counts one row a cell, and posts are numbered within their block.
     """
-    counts = ranged.groupBy("block").agg(F.count(F.lit(1)).alias("c"))
-    before = counts.select("block", (F.sum("c").over(W.orderBy("block")) - F.col("c")).alias("_before"))  # one row a block
+    counts = ranged.groupBy("block").agg(F.count(F.lit(1)).alias("c")).withColumn("_cell", F.floor(F.col("block") / 4096))
+    cells = counts.groupBy("_cell").agg(F.sum("c").alias("_sum"))
+    above = cells.select("_cell", (F.sum("_sum").over(W.orderBy("_cell")) - F.col("_sum")).alias("_above"))
+    within = F.sum("c").over(W.partitionBy("_cell").orderBy("block")) - F.col("c")
+    before = counts.withColumn("_within", within).join(above, "_cell").select("block", (F.col("_above") + F.col("_within")).alias("_before"))
     numbered = ranged.withColumn("_n", F.row_number().over(W.partitionBy("block").orderBy("post_id"))).join(before, "block")
     placed = numbered.withColumn("task", F.floor((F.col("_before") + F.col("_n") - 1) / size).cast("int"))
     ids = F.transform(F.sort_array(F.collect_list(F.struct("block", "post_id"))), lambda x: x["post_id"])

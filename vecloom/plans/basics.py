@@ -333,7 +333,7 @@ def src09(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(rows, "ext string, components long, dims long, total double")
 
 
-@QUERIES.query("src13_neighbour_files")
+@QUERIES.query("src13_neighbour_files", "select name as q_author, 'p' as q_permlink, 0::int as q_chunk_number, name as author, 'x' as permlink, 1::int as chunk_number, 0.5::double as distance, 1::int as rank from hive_accounts")
 def src13(t: Tables) -> DataFrame:
     path = workspace(t.spark, "neighbours")
     rows = t.hive_accounts.select(F.col("name").alias("q_author"), F.lit("p").alias("q_permlink"), F.lit(0).alias("q_chunk_number"), F.col("name").alias("author"), F.lit("x").alias("permlink"), F.lit(1).alias("chunk_number"), F.lit(0.5).alias("distance"), F.lit(1).alias("rank"))

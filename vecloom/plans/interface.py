@@ -67,6 +67,22 @@ def api_sync_chains(t: Tables) -> DataFrame:
     return _rows(t, _text_api(t).sync_chains())
 
 
+@QUERIES.query("api_chain_order", "select 0::bigint as at, 'own' as sync_uuid union all select row_number() over (order by priority, sync_uuid), sync_uuid from sync_chains")
+def api_chain_order(t: Tables) -> DataFrame:
+    """The chains as the interface lists them: its own first."""
+    return t.spark.createDataFrame([(i, c["sync_uuid"]) for i, c in enumerate(_text_api(t).sync_chains())], "at long, sync_uuid string")
+
+
+@QUERIES.query(
+    "api_posts_by_ids_order",
+    "select (row_number() over (order by doc_id desc) - 1)::bigint as at, 'writer-' || doc_id as author, substr(text, 1, 40) as body from (select * from documents where text is not null order by doc_id limit 3) union all select 3, null, null",
+)
+def api_posts_by_ids_order(t: Tables) -> DataFrame:
+    """Posts in the order asked for, null for one that isn't there."""
+    found = [json.loads(r.answer) for r in api_posts_by_ids(t).orderBy("position").collect()]
+    return t.spark.createDataFrame([(i, p and p["author"], p and p["body"]) for i, p in enumerate(found)], "at long, author string, body string")
+
+
 # Topics of the relevance set.
 TOPICS = ("rye bread with honey", "late tomatoes on a slope", "carved wooden spoons", "letters about rain", "the last tram under the bridge", "a diary of birds", "broken lanterns in a workshop", "blue glass by the harbour")
 

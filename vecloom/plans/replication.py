@@ -61,6 +61,12 @@ def _deleted(t: Tables) -> DataFrame:
     return t.hive_posts.filter("counter_deleted > 0").select(F.col("id").alias("post_id"), (F.col("id") + 1_000_000).alias("sync_seq"))
 
 
+def _ends(rows: DataFrame) -> DataFrame:
+    """Vectors by their first and last number."""
+    at = lambda i: F.round(F.element_at("embedding", i).cast("double"), 5)
+    return rows.select("post_id", "chunk_number", "sync_seq", at(1).alias("first"), at(-1).alias("last"))
+
+
 def _batch(t: Tables, ranged: DataFrame) -> store.Tables:
     now = store.Tables(metadata(t), vectors(t), _deleted(t))
     pre = ranged.join(metadata(t), "post_id", "left").select("post_id", F.col("block").alias("block_num"), F.coalesce("number_of_tokens", F.lit(0)).alias("token_count"))
@@ -70,11 +76,11 @@ def _batch(t: Tables, ranged: DataFrame) -> store.Tables:
 
 @QUERIES.query(
     "in02_store_vectors",
-    _BATCH + """o as (select post_id, chunk_number, sync_seq from pv where post_id not in (select post_id from pre) union all select nv.post_id, nv.chunk_number, s.sync_seq from nv join s using (post_id))
-select post_id, chunk_number, sync_seq from o""",
+    _BATCH + """o as (select post_id, chunk_number, sync_seq, e from pv where post_id not in (select post_id from pre) union all select nv.post_id, nv.chunk_number, s.sync_seq, e from nv join s using (post_id))
+select post_id, chunk_number, sync_seq, round(e[1], 5) + 0.0 as first, round(e[64], 5) + 0.0 as last from o""",
 )
 def in02_vectors(t: Tables) -> DataFrame:
-    return _batch(t, _range(t)).vectors.select("post_id", "chunk_number", "sync_seq")
+    return _ends(_batch(t, _range(t)).vectors)
 
 
 @QUERIES.query(
@@ -120,11 +126,11 @@ def wn08_all(t: Tables) -> DataFrame:
 
 @QUERIES.query(
     "in02_store_vectors_all_blocks",
-    _BATCH.replace(_RANGE, _ALL) + """o as (select post_id, chunk_number, sync_seq from pv where post_id not in (select post_id from pre) union all select nv.post_id, nv.chunk_number, s.sync_seq from nv join s using (post_id))
-select post_id, chunk_number, sync_seq from o""",
+    _BATCH.replace(_RANGE, _ALL) + """o as (select post_id, chunk_number, sync_seq, e from pv where post_id not in (select post_id from pre) union all select nv.post_id, nv.chunk_number, s.sync_seq, e from nv join s using (post_id))
+select post_id, chunk_number, sync_seq, round(e[1], 5) + 0.0 as first, round(e[64], 5) + 0.0 as last from o""",
 )
 def in02_all(t: Tables) -> DataFrame:
-    return _batch(t, _all(t)).vectors.select("post_id", "chunk_number", "sync_seq")
+    return _ends(_batch(t, _all(t)).vectors)
 
 
 @QUERIES.query("in03_visible_seq", f"with {SQL}, mk as (select max(1000000 + id) m from hive_posts where counter_deleted > 0) select greatest(coalesce((select max(sync_seq) from pv), 0), coalesce((select m from mk), 0))::int as max_visible_sync_seq")
@@ -220,7 +226,11 @@ def cf05(t: Tables) -> DataFrame:
     return feed.chain_list(own, others).select("position", "sync_uuid", "priority", "llm", "tokens_per_chunk")
 
 
-@QUERIES.query("cf04_settings")
+@QUERIES.query(
+    "cf04_settings",
+    "select 'own' as sync_uuid, 'embed-small' as llm, 64::bigint as embedding_dimensionality, 'passage: ' as document_prefix, 'query: ' as query_prefix, 512::bigint as tokens_per_chunk, "
+    "0.15::double as overlap_amount, 75::bigint as min_token_threshold, 40::bigint as max_embeddings_per_post, 0::bigint as skipped_op_count",
+)
 def cf04(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([{k: v for k, v in feed.sync_settings(config(sync_uuid="own", llm="embed-small", max_embeddings_per_post=40)).items()}])
 
@@ -264,6 +274,18 @@ def cf08(t: Tables) -> DataFrame:
     return data.select("post_id").join(last, "post_id").join(gone, ["post_id", "sync_seq"], "left").select("post_id", "sync_seq", F.coalesce("put", F.lit(True)).alias("put"))
 
 
+@QUERIES.query(
+    "cf08_vectors",
+    f"""with {_OPS.replace("len(embeddings) chunks", "embeddings")}, w as (select post_id, max(sync_seq) sync_seq from res where post_id is not null group by 1),
+x as (select distinct post_id, sync_seq, embeddings from res join w using (post_id, sync_seq) where op <> 'delete' and embeddings is not null),
+y as (select post_id, sync_seq, generate_subscripts(embeddings, 1) i, unnest(embeddings)::double[] e from x)
+select post_id, (i - 1)::int as chunk_number, sync_seq, round(e[1], 5) + 0.0 as first, round(e[-1], 5) + 0.0 as last from y""",
+)
+def cf08_vectors(t: Tables) -> DataFrame:
+    """The vectors that all operations leave."""
+    return _ends(feed.ops_change(_resolved(t)).vectors)
+
+
 @QUERIES.query(
     "cf11_offsets",
     f"""with {_OPS}, d as (select distinct sync_seq, author, permlink, op, post_id, last_vectors_block from res)
@@ -388,10 +410,10 @@ def _merged(t: Tables) -> tuple[rebase.Old, DataFrame, store.Tables]:
 
 @QUERIES.query(
     "rb06_merged_vectors",
-    _DUMP + " select post_id, chunk_number, sync_seq from ov where post_id not in (select post_id from sq) union all select pv.post_id, pv.chunk_number, sq.sync_seq from pv join sq using (post_id)",
+    _DUMP + ", o as (select post_id, chunk_number, sync_seq, v e from ov where post_id not in (select post_id from sq) union all select pv.post_id, pv.chunk_number, sq.sync_seq, e from pv join sq using (post_id)) select post_id, chunk_number, sync_seq, round(e[1], 5) + 0.0 as first, round(e[64], 5) + 0.0 as last from o",
 )
 def rb06_vectors(t: Tables) -> DataFrame:
-    return _merged(t)[2].vectors.select("post_id", "chunk_number", "sync_seq")
+    return _ends(_merged(t)[2].vectors)
 
 
 @QUERIES.query("rb06_merged_markers", _DUMP + " select post_id, sync_seq from od union all select post_id, sync_seq from sq where reason in ('gone', 'rechunked')")
@@ -411,7 +433,17 @@ def rb06_metadata(t: Tables) -> DataFrame:
     return _merged(t)[2].post_data
 
 
-@QUERIES.query("rb06_merge_metrics")
+_METRICS = (
+    _DUMP + _DATA.replace("\nselect post_id, number_of_tokens, last_vectors_block from al", ",\nmd as (select post_id, number_of_tokens, last_vectors_block from al") + "),\n"
+    "mv as (select post_id, chunk_number from ov where post_id not in (select post_id from sq) union all select post_id, chunk_number from pv join sq using (post_id)),\n"
+    "mm as (select post_id from od union all select post_id from sq where reason in ('gone', 'rechunked'))\n"
+    "select 'merge_ops' as metric, count(*) as n from sq union all select 'first_merge_seq', 20000001 union all select 'last_merge_seq', 20000000 + count(*) from sq "
+    "union all select 'merged_vector_rows', count(*) from mv union all select 'merged_posts_with_vectors', count(distinct post_id) from mv "
+    "union all select 'merged_delete_markers', count(*) from mm union all select 'merged_post_data_rows', count(*) from md"
+)
+
+
+@QUERIES.query("rb06_merge_metrics", _METRICS)
 def rb06_metrics(t: Tables) -> DataFrame:
     _, seqs, tables = _merged(t)
     return rebase.merge_metrics(tables, seqs, 20_000_000)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import io
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -75,9 +78,39 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + own
 
 
+_made: list[str] = []
+
+
 def workspace(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/vecloom/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path below the shared folder, gone at the latest when the program ends."""
+    path = f"{shared_dir(spark)}/vecloom/{name}-{uuid.uuid4().hex[:12]}"
+    if not _made:
+        atexit.register(_at_exit)
+    _made.append(path)
+    return path
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what was written to the shared folder inside: results must have been written or collected by then."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        _remove(spark, before)
+
+
+def _remove(spark: SparkSession, since: int = 0) -> None:
+    gone, _made[since:] = _made[since:], []
+    for path in gone:
+        SharedFiles(spark, path).delete("")
+
+
+def _at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and _made:
+        with suppress(Exception):  # the session may be on its way out
+            _remove(spark)
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:

@@ -53,17 +53,18 @@ def label_code(label: Column | str) -> Column:
 
 
 _FENCE = regex.compile(r"(?ms)^\s*(```|~~~).*?(?:^\s*\1[^\n]*$|\Z)")
+#: (what a text must hold for the pattern to matter, pattern, replacement)
 _STRIP = [
-    (regex.compile(r"(?i)^\W*posted\s+(?:via|with|from|using)\b.*$", regex.M), " "),
-    (regex.compile(r"<(?:script|style)\b.*?</(?:script|style)>", regex.I | regex.S), " "),
-    (regex.compile(r"</?[A-Za-z|!][^<>\n]{0,200}>"), " "),
-    (regex.compile(r"!\[[^\]\n]*\]\([^)\n]*\)"), " "),
-    (regex.compile(r"\[([^\]\n]*)\]\([^)\n]*\)"), r"\1"),
-    (regex.compile(r"(?:https?://|www\.)[^\s<>\p{Han}\p{Hiragana}\p{Katakana}]+"), " "),
-    (regex.compile(r"data:[\w/+.-]+;base64,[A-Za-z0-9+/=]+"), " "),
-    (regex.compile(r"`[^`\n]*`"), " "),
-    (regex.compile(r"(?<!\w)[@#][\w./\-]+"), " "),
-    (regex.compile(r"[*_~]{2,}|^\s*(?:#{1,6}|>)\s+", regex.M), ""),
+    (("osted", "OSTED"), regex.compile(r"(?i)^\W*posted\s+(?:via|with|from|using)\b.*$", regex.M), " "),
+    (("<",), regex.compile(r"<(?:script|style)\b.*?</(?:script|style)>", regex.I | regex.S), " "),
+    (("<",), regex.compile(r"</?[A-Za-z|!][^<>\n]{0,200}>"), " "),
+    (("](",), regex.compile(r"!\[[^\]\n]*\]\([^)\n]*\)"), " "),
+    (("](",), regex.compile(r"\[([^\]\n]*)\]\([^)\n]*\)"), r"\1"),
+    (("://", "www."), regex.compile(r"(?:https?://|www\.)[^\s<>\p{Han}\p{Hiragana}\p{Katakana}]+"), " "),
+    (("data:",), regex.compile(r"data:[\w/+.-]+;base64,[A-Za-z0-9+/=]+"), " "),
+    (("`",), regex.compile(r"`[^`\n]*`"), " "),
+    (("@", "#"), regex.compile(r"(?<!\w)[@#][\w./\-]+"), " "),
+    (("*", "_", "~", "#", ">"), regex.compile(r"[*_~]{2,}|^\s*(?:#{1,6}|>)\s+", regex.M), ""),
 ]
 _LETTERS = regex.compile(r"[^\p{L}\p{M}'’\n]+")
 _THAI_RUN = regex.compile(r"\p{Thai}{8}")
@@ -77,8 +78,9 @@ def plain(text: str) -> str:
         text = html.unescape(text)
     if "```" in text or "~~~" in text:
         text = _FENCE.sub("\n", text)
-    for pattern, by in _STRIP:
-        text = pattern.sub(by, text)
+    for needed, pattern, by in _STRIP:
+        if any(n in text for n in needed):
+            text = pattern.sub(by, text)
     return text
 
 
@@ -281,29 +283,42 @@ def _segments(flt: Filter, docs: list[list[tuple[str, bool]]], h: np.ndarray, ow
     share = np.minimum(hits / np.maximum(n, 1)[:, None], 1)
     clear = (share.max(1) >= 0.3) & (n >= 3)
     cost = -n[:, None] * np.log(share + 0.03)
+    doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
     whole = np.fromiter((w for d in docs for _, w in d), bool, parts) & clear
-    out, at = [], 0
-    for d in docs:
-        voters = at + np.flatnonzero(whole[at : at + len(d)])
-        if not len(voters):
-            voters = at + np.flatnonzero(clear[at : at + len(d)])
-        langs = _path(cost[voters], switch) if len(voters) else np.empty(0, np.int64)
+    voters = np.flatnonzero(np.where((np.bincount(doc, whole, minlength=len(docs)) > 0)[doc], whole, clear))
+    out: list = [np.full(len(d), -1) for d in docs] if by_unit else [[] for _ in docs]
+    if not len(voters):
+        return out
+    first = np.flatnonzero(np.diff(doc[voters], prepend=-1))  # of each document that has voters
+    count = np.diff(first, append=len(voters))
+    total = np.add.reduceat(cost[voters], first, axis=0)
+    best = total.argmin(1)
+    rows = np.arange(len(first))
+    one = total[rows, best] <= np.add.reduceat(cost[voters].min(1), first) + switch  # no path with a change costs less
+    sure = _confidence(np.add.reduceat(share[voters] * n[voters, None], first, axis=0) / np.add.reduceat(n[voters], first)[:, None], best)
+    start = np.r_[0, np.cumsum([len(d) for d in docs])]
+    for d, k, same, c, at, size in zip(doc[voters[first]].tolist(), best.tolist(), one.tolist(), sure.tolist(), first.tolist(), count.tolist()):
+        mine = voters[at : at + size]
+        langs = np.full(size, k) if same else _path(cost[mine], switch)
         if by_unit:
-            each = np.full(len(d), -1)
-            each[voters - at] = langs
-            out.append(each)
+            out[d][mine - start[d]] = langs
+        elif same:
+            out[d] = [(flt.languages[k], round(c, 4), size)]
         else:
-            out.append(_stretches(langs, share[voters], n[voters], flt.languages))
-        at += len(d)
+            out[d] = _stretches(langs, share[mine], n[mine], flt.languages)
     return out
 
 
+def _confidence(weight: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Share of the n-grams in language k, times its lead over the next language."""
+    rows = np.arange(len(k))
+    top = weight[rows, k]
+    weight[rows, k] = 0
+    return np.maximum(0, (top - weight.max(1)) / np.maximum(top, 1e-9)) * top
+
+
 def _path(cost: np.ndarray, switch: float) -> np.ndarray:
     """The cheapest language of each sentence, a change costing ``switch``."""
-    one = cost.sum(0)
-    k = int(one.argmin())
-    if one[k] <= cost.min(1).sum() + switch:  # no path with a change costs less
-        return np.full(len(cost), k)
     best, back = cost[0].copy(), []
     for row in cost[1:]:
         k = int(best.argmin())
@@ -317,15 +332,9 @@ def _path(cost: np.ndarray, switch: float) -> np.ndarray:
 
 
 def _stretches(lang: np.ndarray, share: np.ndarray, n: np.ndarray, names: list[str]) -> list[tuple[str, float, int]]:
-    if not len(lang):
-        return []
     first = np.flatnonzero(np.diff(lang, prepend=-1))
-    weight = np.add.reduceat(share * n[:, None], first, axis=0) / np.add.reduceat(n, first)[:, None]
-    k, rows = lang[first], np.arange(len(first))
-    top = weight[rows, k]
-    weight[rows, k] = 0
-    sure = np.maximum(0, (top - weight.max(1)) / np.maximum(top, 1e-9)) * top
-    return [(names[i], round(c, 4), size) for i, c, size in zip(k.tolist(), sure.tolist(), np.diff(first, append=len(lang)).tolist())]
+    sure = _confidence(np.add.reduceat(share * n[:, None], first, axis=0) / np.add.reduceat(n, first)[:, None], lang[first])
+    return [(names[i], round(c, 4), size) for i, c, size in zip(lang[first].tolist(), sure.tolist(), np.diff(first, append=len(lang)).tolist())]
 
 
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", per_label: int = 150, max_chars: int = 20000) -> Filter:

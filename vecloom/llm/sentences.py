@@ -174,18 +174,16 @@ def _absorb(line: str, i: int, openers: dict[int, int]) -> int:
 
 def _line_ends(line: str, base_lower: bool) -> Iterator[int]:
     n = len(line)
+    events: list[tuple[int, int, int]] = [(*m.span(), 0) for m in _MARK.finditer(line)]  # (position, end of marks, kind) kind 0 mark, 1 pair, 2 Thai gap
     pairs = _pairs(line)
+    events += [(e, e + 1, 1) for _, e in pairs]
+    if not line.isascii() and _THAI.search(line):
+        events += [(m.start(), m.start(), 2) for m in _THAI_GAP.finditer(line)]
+    if not events or len(events) == 1 and events[0][1] == n and events[0][2] == 0:
+        return  # no boundary, or only the end of the line
     openers = dict(pairs)
     urls = [m.span() for m in _URL.finditer(line)] if "://" in line or "www." in line else []
     marker = _MARKER.match(line)
-    events: list[tuple[int, int, int]] = []  # (position, end of marks, kind) kind 0 mark, 1 pair, 2 Thai gap
-    events += [(m.start(), m.end(), 0) for m in _MARK.finditer(line)]
-    for s, e in pairs:
-        events.append((e, e + 1, 1))
-    if _THAI.search(line):
-        events += [(m.start(), m.start(), 2) for m in _THAI_GAP.finditer(line)]
-    if not events:
-        return
     events.sort()
     starts = {e: s for s, e in pairs}
     start, p, u, done = 0, 0, 0, -1

@@ -273,3 +273,18 @@ def test_no_search_shuffles_a_vector(spark, tmp_path):
             for part in plan.split("\n\n"):
                 if _re.match(r"\(\d+\) (Broadcast)?Exchange", part):
                     assert "embedding" not in part, part
+
+
+def test_an_index_is_built_once_within_its_memory(spark, path):
+    from vecloom.operators.index import InvertedFile
+
+    rng = np.random.default_rng(3)
+    rows = [(i, 0, [float(x) for x in rng.normal(size=4)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "post_id int, chunk_number int, embedding array<float>")
+    cfg = Config(dims=4)
+    index, stats = InvertedFile.ensure(df, path, cfg, memory=100 * 8 * 4)  # 100 vectors: two cells
+    assert stats.rows == 200 and stats.cells == 2 and stats.size > 0 and stats.rows_per_second > 0
+    again, built = InvertedFile.ensure(df.limit(0), path, cfg)
+    assert built is None and np.allclose(again.centroids, index.centroids) and again.probe(rows[0][2], 2).count() == 200
+    short, stats = InvertedFile.ensure(df, path, cfg.with_(reduction_mode="slice", reduced_dims=2), cells=3)
+    assert stats.cells == 3 and short.path != index.path and short.centroids.shape == (3, 2)

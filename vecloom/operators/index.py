@@ -5,6 +5,8 @@ The centroid is a partition column, so a search that probes the p nearest centro
 
 from __future__ import annotations
 
+import json
+import math
 import time
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -14,7 +16,9 @@ import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..config import Config
 from ..functions.vectors import usable
+from ..session import SharedFiles
 
 
 @dataclass(frozen=True)
@@ -24,6 +28,11 @@ class IndexStats:
     largest: int
     fit_seconds: float
     write_seconds: float
+    size: int = 0
+
+    @property
+    def rows_per_second(self) -> float:
+        return self.rows / max(self.fit_seconds + self.write_seconds, 1e-9)
 
 
 def index_name(mode: str, half: bool, dims: int) -> str:
@@ -50,9 +59,31 @@ class InvertedFile:
         centroids = centroids / np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-12)
         fitted = time.time()
         own = cls(spark, path, centroids, column)
-        own.assign(vectors).repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(own.path)
+        own.assign(vectors).hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(own.path)  # a large cell is written by several tasks
         sizes = spark.read.parquet(own.path).groupBy("cell").count().agg(F.sum("count").alias("n"), F.count("*").alias("c"), F.max("count").alias("m")).collect()[0]
-        return own, IndexStats(sizes.n or 0, sizes.c, sizes.m or 0, fitted - began, time.time() - fitted)
+        return own, IndexStats(sizes.n or 0, sizes.c, sizes.m or 0, fitted - began, time.time() - fitted, SharedFiles(spark, own.path).size(""))
+
+    @classmethod
+    def ensure(cls, vectors: DataFrame, root: str, config: Config, cells: int | None = None, memory: int = 1 << 30) -> tuple[InvertedFile, IndexStats | None]:
+        """The index of a mode below ``root``, built if it isn't there; the second value only for one that was built.
+
+        cells: by default the root of the row count, 4096 at most. memory: bytes that the sample of the fit may take; the sample (a million vectors at most)
+        is as large as they allow, and where even 40 vectors a cell don't fit there are fewer cells. The description that
+        makes an index known is written last, so one whose build died is built anew.
+        """
+        column = "reduced_embedding" if config.reduction_mode == "pca" else "embedding"
+        dims = config.reduced_dims if config.reduction_mode != "none" else config.dims
+        files = SharedFiles(vectors.sparkSession, f"{root.rstrip('/')}/{index_name(config.reduction_mode, config.store_half, dims)}")
+        path = f"{root.rstrip('/')}/{index_name(config.reduction_mode, config.store_half, dims)}/cells"
+        if files.exists("index.json"):
+            return cls(vectors.sparkSession, path, np.array(json.loads(files.read("index.json"))), column), None
+        if config.reduction_mode == "slice":
+            vectors = vectors.withColumn(column, F.slice(column, 1, dims))
+        sample = max(1, min(1_000_000, memory // (8 * dims)))
+        cells = max(1, min(cells or min(4096, math.isqrt(max(1, vectors.count()))), sample // 40 or 1))
+        own, stats = cls.build(vectors, path, cells, sample, column)
+        files.write("index.json", json.dumps(own.centroids.tolist()))
+        return own, stats
 
     def assign(self, vectors: DataFrame) -> DataFrame:
         c, at, names = self.centroids, vectors.columns.index(self.column), vectors.columns

@@ -28,7 +28,7 @@ class PartitionedRefresh:
     buckets: partitions of the key space; bounds the fingerprint table and the list of changed partitions. By default the first
     refresh takes one for every ROWS source rows, and a refresh whose sources have outgrown them by GROWN rebuilds
     the table with more. Rows with a null key belong to no partition and are ignored. Empty sources give an empty table.
-    After a refresh ``changed`` lists the partitions that were recomputed.
+    After a refresh ``changed`` lists the partitions that were recomputed, and ``filled`` counts those with source rows.
     """
 
     ROWS = 1 << 16
@@ -40,6 +40,7 @@ class PartitionedRefresh:
         self.files = SharedFiles(spark, self.path)
         self.buckets = buckets or self.LEAST
         self.changed: list[int] = []
+        self.filled = 0
 
     def part(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
@@ -87,6 +88,7 @@ class PartitionedRefresh:
         if not self._given and rows > (self.GROWN if last else 1) * self.ROWS * self.buckets and self.buckets < self.MOST:
             self.buckets = self._fitting(rows)
             now = self._prints(sources, key)
+        self.filled = len({p for _, p in now})
         data = self._layout()
         before = {(s, p): tuple(v) for s, p, *v in last.get("prints", [])} if last.get("buckets") == self.buckets else {}
         self.changed = sorted({k[1] for k in now.keys() | before.keys() if now.get(k) != before.get(k)})

@@ -65,11 +65,11 @@ select step, count(distinct post_id) posts, k = 1 as all_partitions, k < 3 as so
 )
 def p1_recomputed(t: Tables) -> DataFrame:
     """(step, posts, all_partitions, some_partitions): posts in the derived table after each of three refreshes, and whether
-    all partitions or any were recomputed."""
+    all partitions with rows or any were recomputed."""
     path, rows = workspace(t.spark, "p1r"), []
     for step, sources in (("as of the last run", _as_of_last_run(t)), ("now", (t.posts_vectors, t.post_data)), ("again", (t.posts_vectors, t.post_data))):
         table, kept = post_states(t.spark, *sources, path)
-        rows.append((step, table.count(), len(kept.changed) == kept.buckets, bool(kept.changed)))
+        rows.append((step, table.count(), len(kept.changed) == kept.filled, bool(kept.changed)))
     return t.spark.createDataFrame(rows, "step string, posts long, all_partitions boolean, some_partitions boolean")
 
 
